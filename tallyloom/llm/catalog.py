@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import mixing
+from tallyloom.llm import linededup, mixing, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_mixing": mixing.op10_mixing}
+    return {"op1_line_dedup": linededup.op1_line_dedup, "op4_quality_rules": rules.op4_quality_rules, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE_SQL}
+    return {"op1_line_dedup": linededup.ORACLE_SQL, "op4_quality_rules": rules.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
