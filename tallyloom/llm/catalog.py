@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import licenses, linededup, mixing, rules, secrets, simhash
+from tallyloom.llm import licenses, linededup, mixing, rules, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": linededup.op1_line_dedup, "op4_quality_rules": rules.op4_quality_rules, "op7_simhash_neardup": simhash.op7_simhash_neardup, "op8_license_scans": licenses.op8_license_scans, "op9_secret_scans": secrets.op9_secret_scans, "op10_mixing": mixing.op10_mixing}
+    return {"op1_line_dedup": linededup.op1_line_dedup, "op3_toxicity": toxicity.op3_toxicity, "op4_quality_rules": rules.op4_quality_rules, "op7_simhash_neardup": simhash.op7_simhash_neardup, "op8_license_scans": licenses.op8_license_scans, "op9_secret_scans": secrets.op9_secret_scans, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
