@@ -1 +1,8 @@
 """Operators that prepare training text. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code along: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -51,6 +51,16 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as the column ``name``, computed once for each row before later steps.
+
+    A generator keeps the optimiser from merging the expression into what uses it. A Python function must get
+    such a plain column where the expression has nested lambdas: Spark may not recognise them as the same
+    expression twice, and then fails to extract the function.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one is set only where that setting is absent (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

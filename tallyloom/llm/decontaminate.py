@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bind, modest_batches, table, text_of, written
+from tallyloom.llm.common import held, modest_batches, table, text_of, written
 
 N = 4
 COMMON = 1000
@@ -38,8 +38,9 @@ CHUNK_WORDS = 2_000_000
 
 def word_names(text: Column) -> Column:
     """64-bit names of the lower-cased runs of letters and digits."""
-    split = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    return bind(split, lambda w: F.transform(w, lambda x: F.xxhash64(x)))
+    inner = F.regexp_replace(F.lower(text), r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
+    split = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[^\p{L}\p{M}\p{N}]+"))
+    return F.transform(split, lambda x: F.xxhash64(x))
 
 
 def gram_names(names: np.ndarray, n: int) -> np.ndarray:
@@ -107,7 +108,7 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
 
 def _hits(shared):
     def run(names: pd.Series) -> pd.DataFrame:
-        items: Items = shared.value
+        items = Items(**shared.value)
         sizes = np.array([len(x) for x in names], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in names]).view(np.uint64) if len(names) else np.empty(0, np.uint64)
@@ -156,7 +157,7 @@ def passages(items: Items, rare: np.ndarray, grams: np.ndarray, at: np.ndarray,
 
 def _aligned(shared):
     def run(names: pd.Series, grams: pd.Series, at: pd.Series) -> pd.Series:
-        items, rare = shared.value
+        items, rare = Items(**shared.value[0]), shared.value[1]
         out = []
         for w, g, a in zip(names, grams, at):
             best: dict[int, tuple[float, int, int]] = {}
@@ -180,15 +181,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     named = written(named.select("item_id", word_names(F.col("text")).alias("names")), "leak-items")
     total = named.agg(F.coalesce(F.sum(F.size("names")), F.lit(0)).alias("n")).first()["n"]
     chunks = max(1, -(-total // CHUNK_WORDS))
-    rest = docs.select("doc_id", word_names(text_of()).alias("names"))
+    rest = held(docs.select("doc_id", text_of().alias("text")), "names", word_names(F.col("text"))).select("doc_id", "names")
     found = None
     for c in range(chunks):
         part = named.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c)
         items = load_items(part.orderBy("item_id").collect())
-        hits = written(rest.select("doc_id", _hits(spark.sparkContext.broadcast(items))("names").alias("h")).select("doc_id", "h.*"), "leak-hits")
+        hits = written(rest.select("doc_id", _hits(spark.sparkContext.broadcast(vars(items)))("names").alias("h")).select("doc_id", "h.*"), "leak-hits")
         counted = hits.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
         rare = items.seeds({r["g"]: r["n"] for r in counted.collect()})
-        udf = _aligned(spark.sparkContext.broadcast((items, rare)))
+        udf = _aligned(spark.sparkContext.broadcast((vars(items), rare)))
         one = hits.select("doc_id", udf("names", "grams", "at").alias("matches"))
         found = one if found is None else found.unionByName(one)
     if chunks > 1:

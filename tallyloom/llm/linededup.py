@@ -102,10 +102,10 @@ def _total(runs: list[DataFrame]) -> DataFrame:
     return union.groupBy("key").agg(F.sum("docs").alias("docs"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """One row for each document: doc_id, kept (the text that stays), n_lines, n_dropped."""
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, the columns ``carry``, kept (the text that stays), n_lines, n_dropped."""
     modest_batches(docs.sparkSession)
-    texts = docs.select("doc_id", text_of().alias("text"))
+    texts = docs.select("doc_id", text_of().alias("text"), *carry)
     lines = written(
         texts.select("doc_id", F.explode(F.pandas_udf(_keys, "array<binary>")("text")).alias("key")).withColumn(
             "batch", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(batches)).cast("int")
@@ -117,8 +117,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
         runs.add(lines.where(F.col("batch") == b).select("key"))
     frequent = written(runs.frequent(), "line-frequent")
     hits = lines.select("doc_id", "key").join(frequent, "key").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
-    joined = texts.alias("t").join(hits.alias("h"), F.expr("t.doc_id <=> h.doc_id"), "left").select("t.doc_id", "text", "drop")
-    return joined.withColumn("r", F.pandas_udf(_keep, "kept string, n_lines long, n_dropped long")("text", "drop")).select("doc_id", "r.*")
+    joined = texts.alias("t").join(hits.alias("h"), F.expr("t.doc_id <=> h.doc_id"), "left").select("t.doc_id", "text", "drop", *carry)
+    return joined.withColumn("r", F.pandas_udf(_keep, "kept string, n_lines long, n_dropped long")("text", "drop")).select("doc_id", *carry, "r.*")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

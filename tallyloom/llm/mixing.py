@@ -81,11 +81,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     return level.select("source", "source_size", "slot", "weight", F.round(target, 6).alias("target"))
 
 
-def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, positions (of the copies taken).
-
-    Sorted by the first position, documents that are not taken last.
-    """
+def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, positions (of the copies taken)."""
     sized = written(
         docs.select(
             F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"),
@@ -119,9 +116,25 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat
         lambda x: (F.col("size") > 0) & (2 * x + F.col("size") <= 2 * F.col("target")),
     )
     placed = placed.withColumn("starts", starts)
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.transform("starts", position).alias("positions")).orderBy(
-        F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id"
-    )
+    return placed.select("doc_id", "source", "size", "source_size", "target", F.transform("starts", position).alias("positions"))
+
+
+def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """``plan`` range-sorted by the first position, documents that are not taken last."""
+    placed = plan(docs, weights, schedules, max_repeat)
+    return placed.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+
+
+def training_order(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The documents as they are trained on: one row for each copy taken, range-sorted by position.
+
+    Columns doc_id, text, lang, source, n_chars, copy (from 0), position. Rows with the same id are each
+    trained on as often as the first of them.
+    """
+    copies = plan(docs, weights, schedules, max_repeat).groupBy("doc_id").agg(F.min("positions").alias("positions"))
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    joined = docs.select(*columns).alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id")).select(*[f"d.{c}" for c in columns], F.posexplode("positions").alias("copy", "position"))
+    return joined.orderBy("position", "doc_id", "copy")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

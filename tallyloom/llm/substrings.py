@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WORD, bind, dropped, modest_batches, table, text_of, words, written
+from tallyloom.llm.common import WORD, dropped, held, modest_batches, table, text_of, words, written
 
 WINDOW = 50
 #: Rounds of recompression: what is renamed, and the longest symbols (in words) that take part.
@@ -133,7 +133,7 @@ class Stretches:
 
 
 def word_names(text: Column) -> Column:
-    return bind(words(text), lambda w: F.transform(w, lambda x: F.xxhash64(x)))
+    return F.transform(words(text), lambda x: F.xxhash64(x))
 
 
 def _pairs(names: pd.Series) -> pd.Series:
@@ -217,7 +217,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     modest_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), text_of().alias("text"))
     longs = "array<long>"
-    parsed = texts.select("doc", F.pandas_udf(_pairs, longs)(word_names(F.col("text"))).alias("flat"))
+    named = held(texts, "names", word_names(F.col("text")))
+    parsed = named.select("doc", F.pandas_udf(_pairs, longs)("names").alias("flat"))
     rows = written(_exploded(parsed, "flat", "key", "name"), "sub-stretches")
     ends = [f(c).alias(f"{n}_{c}") for c in ("doc", "name") for n, f in (("min", F.min), ("max", F.max))]
     shared = rows.groupBy("key").agg(*ends).where("min_doc < max_doc").select("key", (F.col("min_name") < F.col("max_name")).alias("mixed"))
@@ -227,16 +228,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     covered = near.join(first.where("least < most").select("key", "name", "least"), ["key", "name"]).where("doc > least")
     whole = written(_flat(covered, "key", "name", "whole"), "sub-whole")
     wanted = _flat(first.where("mixed").select(F.col("least").alias("doc"), "key", "name"), "key", "name", "want")
-    open_texts = texts.select("doc", "text").join(wanted, "doc")
-    cut = open_texts.select("doc", F.pandas_udf(_windows, longs)(word_names(F.col("text")), "want").alias("flat"))
+    open_texts = held(texts.select("doc", "text").join(wanted, "doc"), "names", word_names(F.col("text")))
+    cut = open_texts.select("doc", F.pandas_udf(_windows, longs)("names", "want").alias("flat"))
     windows = written(_exploded(cut, "flat", "a", "b"), "sub-windows")
     dropped(near)
     least = windows.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("a", "b", "least")
     single = written(_flat(windows.join(least, ["a", "b"]).where("doc > least"), "a", "b", "single"), "sub-single")
     dropped(windows)
-    joined = texts.join(whole, "doc", "left").join(single, "doc", "left")
+    joined = held(texts.join(whole, "doc", "left").join(single, "doc", "left"), "names", word_names(F.col("text")))
     udf = F.pandas_udf(_kept, "kept string, n_words long, n_removed long")
-    return joined.select("doc_id", udf("text", word_names(F.col("text")), "whole", "single").alias("r")).select("doc_id", "r.*")
+    return joined.select("doc_id", udf("text", "names", "whole", "single").alias("r")).select("doc_id", "r.*")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

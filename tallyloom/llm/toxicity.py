@@ -204,7 +204,7 @@ def _build(listed: list, silent: dict[int, int], sizes: dict[int, int], names: d
 
 def _scores(shared):
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        index: Index = shared.value
+        index = Index(**shared.value)
         for places, counts in batches:
             out = []
             for p, c in zip(places, counts):
@@ -227,13 +227,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
         none = F.array().cast("array<long>"), F.array().cast("array<double>")
         scored = docs.select("doc_id", F.lit(0.0).alias("score"), none[0].alias("evidence"), none[1].alias("cosines"))
     else:
-        udf = _scores(docs.sparkSession.sparkContext.broadcast(index))
+        udf = _scores(docs.sparkSession.sparkContext.broadcast(vars(index)))
         scored = every.select("doc_id", udf("places", "counts").alias("s")).select("doc_id", "s.*")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines"
     )
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+    """The rows of ``docs`` whose score is under 0.5, all columns as they are and nothing shuffled."""
+    index, _ = fit(docs, labels, examples, terms)
+    if index is None:
+        return docs
+    found = _vectors(index.terms)(text_of())
+    scored = docs.select(F.struct(*docs.columns).alias("_row"), found.alias("_v"))
+    udf = _scores(docs.sparkSession.sparkContext.broadcast(vars(index)))
+    scored = scored.select("_row", udf("_v.places", "_v.counts").alias("_s"))
+    return scored.where(F.col("_s.score") < 0.5).select("_row.*")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
