@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ascii_lower, bind, modest_batches, table, text_of, words, written
+from tallyloom.llm.common import ascii_lower, held, modest_batches, table, text_of, words, written
 from tallyloom.llm.components import components
 
 WIDTH = 3
@@ -34,19 +34,14 @@ BLOCKS = 4
 BUCKET = 32
 
 
-def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
-    """The signed XXH64 of every shingle; empty where there are no words."""
-    def hashes(w: Column) -> Column:
-        def one(i: Column) -> Column:
-            parts: list[Column] = []
-            for k in range(width):
-                parts += [F.lit(" ")] * bool(k) + [F.get(w, i + k)]
-            return F.xxhash64(F.concat(*parts))
+def with_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``(doc_id, hashes)``: the signed XXH64 of the words from each place on, ``width`` at most.
 
-        short = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(width)), one)).otherwise(short)
-
-    return bind(words(ascii_lower(text)), hashes)
+    These are the shingles and then ``width - 1`` tails; a text shorter than ``width`` has itself first.
+    """
+    rows = held(docs.select("doc_id", text_of().alias("text")), "w", words(ascii_lower(F.col("text"))))
+    hashes = F.transform("w", lambda x, i: F.xxhash64(F.array_join(F.slice("w", i + 1, width), " ")))
+    return held(rows.select("doc_id", "w"), "hashes", hashes).select("doc_id", "hashes")
 
 
 #: For each byte, a 64-bit word with its bits in eight counters of eight bits.
@@ -67,15 +62,17 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(hashes: pd.Series) -> pd.Series:
-    return hashes.map(fingerprint).astype("int64")
+def _fingerprints(width: int):
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(h[: max(1, len(h) - width + 1)]) for h in hashes], dtype="int64")
+
+    return F.pandas_udf(run, "long")
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``(doc_id, fp)``, one row for each row of ``docs``."""
     modest_batches(docs.sparkSession)
-    udf = F.pandas_udf(_fingerprints, "long")
-    return docs.select("doc_id", udf(shingle_hashes(text_of(), width)).alias("fp"))
+    return with_shingles(docs, width).select("doc_id", _fingerprints(width)("hashes").alias("fp"))
 
 
 def _block_keys(fp: Column, radius: int, blocks: int) -> Column:
