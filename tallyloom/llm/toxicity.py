@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting: up to ``EXAMPLES`` labelled rows (half of each class, the smallest MD5 of the id; the bound is the
-parameter ``examples``) with distinct texts become the index. Its terms are the ``terms`` words that tell the
-classes apart best in these rows (signed chi-square). Document frequencies for IDF count all documents.
+parameter ``examples``) with distinct texts become the index. Its terms are the ``terms`` words that mark toxic rows
+best among these (chi-square, significant, and at least ``LEAST_LIFT`` times as frequent there). Document frequencies for IDF count all documents.
 
 Scoring: the index is inverted and cut into blocks of ``BLOCK`` examples; each term keeps its largest weight in
 each block. The bound of a block is the sum over the query's terms of query weight times that maximum; blocks
@@ -33,6 +33,10 @@ from tallyloom.llm.common import modest_batches, table, text_of, written
 EXAMPLES = 4000
 TERMS = 512
 LEAST_DF = 5
+#: A term is known if its share among toxic examples is so many times that among the others, and its
+#: chi-square is significant at 1 %.
+LEAST_LIFT = 2.0
+LEAST_CHI = 6.63
 NEIGHBOURS = 25
 BLOCK = 64
 SHRINK = 0.5
@@ -132,6 +136,15 @@ def _term_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": doc_id, "toxic": toxic, "term": list(counts), "n": list(counts.values())})
 
 
+def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many documents of the partition have each known term: one row for each term at most."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for places in batch["places"]:
+            counts.update(places.tolist())
+    yield pd.DataFrame({"p": list(counts), "n": list(counts.values())})
+
+
 def _vectors(terms: dict[str, int]):
     def run(text: pd.Series) -> pd.DataFrame:
         out = []
@@ -163,11 +176,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     stats = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("d1")).where(F.col("df") >= LEAST_DF)
     expected = F.col("df") * (n1 / (n0 + n1))
     chi = F.pow(F.col("d1") - expected, F.lit(2.0)) / expected + F.pow(F.col("d1") - expected, F.lit(2.0)) / (F.col("df") - expected + 1e-9)
-    chosen = stats.orderBy(chi.desc(), "term").limit(terms).select("term")
+    lift = F.col("d1") * n0 >= LEAST_LIFT * (F.col("df") - F.col("d1")) * n1
+    chosen = stats.where(lift & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms).select("term")
     names = {r["term"]: i for i, r in enumerate(chosen.collect())}
     every = vectors(docs, names)
     total = every.count()
-    df = {r["p"]: r["n"] for r in every.select(F.explode("places").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = every.select("places").mapInPandas(_document_counts, "p int, n long")
+    df = {r["p"]: r["n"] for r in counted.groupBy("p").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + total) / (1 + df.get(p, 0))) + 1 for p in range(len(names))])
     listed = rows.join(F.broadcast(chosen), "term", "left_semi").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("term", "n")).alias("v"))
     silent = sample.select("doc_id", "toxic").join(listed.select("doc_id"), "doc_id", "left_anti").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
