@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import queries_model
+from tallyloom.plans import queries_data, queries_model
 
 flagship = queries_model.flagship
+assert queries_data.query is queries_model.query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(queries_model.QUERIES)
+    return dict(queries_model.QUERIES)  # queries_data adds its own on import
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,11 +17,17 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Register a query and its SQL; the columns ``dates`` are ISO text on both sides."""
+
     def keep(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            out = f(spark, sf)
+            return out.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else out
+
+        QUERIES[name] = run
         if sql:
-            SQL[name] = sql
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f'{c}::DATE::VARCHAR AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
         return f
 
     return keep
@@ -183,7 +189,7 @@ ks AS (SELECT d.party_id, d.at AS day, s.pollster, sum(s.a * pow(0.5, abs(date_d
 
 @query("kernel_loo", f"""WITH {OBS}
 SELECT i.party_id, i.day, i.pollster, round(sum(j.a) / sum(j.w), 6) AS consensus, round(sum(j.w), 4) AS weight
-FROM ks i LEFT JOIN ks j ON i.party_id = j.party_id AND i.day = j.day AND i.pollster <> j.pollster GROUP BY ALL""")
+FROM ks i LEFT JOIN ks j ON i.party_id = j.party_id AND i.day = j.day AND i.pollster <> j.pollster GROUP BY ALL""", ("day",))
 def kernel_loo(spark, sf):
     out = house.leave_one_out(house.kernel_sums(observations(spark, sf), "value", "kernel"))
     return out.select("party_id", "day", "pollster", r6("consensus").alias("consensus"), F.round("weight", 4).alias("weight"))
