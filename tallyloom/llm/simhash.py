@@ -116,6 +116,107 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Similar documents: words in the shingles that are compared and in those that propose, the least similarity,
+#: blocks and bits in each, words of 64 bits to verify with, leaders of a crowded bucket.
+SIMILAR_WIDTH, PROPOSE_WIDTH, LEAST = 5, 2, 0.8
+WIDE_BLOCKS, BLOCK_BITS, VERIFY_WORDS = 48, 24, 24
+#: Bits of the first verifying word that may differ before the others are read.
+FIRST_BITS = 18
+
+
+def allowed_bits(similarity: float, bits: int) -> int:
+    """Differing bits expected of two sets of that Jaccard similarity (equal sizes), and two deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(round(bits * p + 2 * np.sqrt(bits * p * (1 - p))))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shingle_sets(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names, begin): the distinct shingles of each text one after the other; a shorter text is one shingle."""
+    out = []
+    for w in texts:
+        k = min(width, len(w))
+        names = np.full(len(w) - k + 1 if k else 0, k, dtype=np.uint64)
+        for j in range(k):
+            names = _mixed(names * np.uint64(3) + w[j : len(w) - k + 1 + j])
+        out.append(np.unique(names))
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), begin
+
+
+def wide_bits(names: np.ndarray, begin: np.ndarray, words_: int, salt: int) -> np.ndarray:
+    """SimHash of ``64 * words_`` bits for each text: (texts, 64 * words_) of 0 and 1."""
+    texts = len(begin) - 1
+    sizes = np.diff(begin)
+    bits = np.zeros((texts, 64 * words_), dtype=np.uint8)
+    if not len(names):
+        return bits
+    # Cuts of at most 255 names (a counter has eight bits) that never cross a text.
+    full = np.nonzero(sizes)[0]
+    cuts = np.concatenate([np.arange(begin[i], begin[i + 1], 255) for i in full])
+    owner = np.searchsorted(begin, cuts, side="right") - 1
+    first = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
+    for r in range(words_):
+        octets = _mixed(names + np.uint64((salt + r) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            packed = np.add.reduceat(_SPREAD[octets[:, k]], cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+            counts = np.add.reduceat(packed, first, axis=0)
+            bits[owner[first], 64 * r + 8 * k : 64 * r + 8 * k + 8] = 2 * counts > sizes[owner[first], None]
+    return bits
+
+
+def _wide(names: pd.Series) -> pd.DataFrame:
+    texts = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in names]
+    need = -(-WIDE_BLOCKS * BLOCK_BITS // 64)
+    proposed = wide_bits(*_shingle_sets(texts, PROPOSE_WIDTH), need, 1)[:, : WIDE_BLOCKS * BLOCK_BITS]
+    places = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
+    blocks = (proposed.reshape(len(texts), WIDE_BLOCKS, BLOCK_BITS) * places).sum(axis=2).astype(np.int32)
+    verify = np.packbits(wide_bits(*_shingle_sets(texts, SIMILAR_WIDTH), VERIFY_WORDS, 1000), axis=1, bitorder="little").view("<i8")
+    return pd.DataFrame({"blocks": list(blocks), "fp": list(verify)})
+
+
+def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose sets of five-word shingles have a Jaccard similarity of
+    0.8 or more, by wide SimHash fingerprints.
+
+    A pair at 0.8 differs in 15 % of the bits, too many for the pigeonholes of 64 bits. So a fingerprint of
+    two-word shingles, which an edit disturbs less, gives ``WIDE_BLOCKS`` blocks of ``BLOCK_BITS`` bits: unlike
+    documents share none, a pair with single words edited shares one with a probability of 0.99. Pairs that
+    share a block are verified by the Hamming distance of a fingerprint of the five-word shingles. Equal word
+    sequences are one document from the start. In a bucket of more than ``bucket`` documents each is compared
+    with up to three leaders (smallest, largest and a hashed id) and not with all; it meets others in its other
+    buckets. Texts without words are alike; null ids are never linked.
+    """
+    modest_batches(docs.sparkSession)
+    rows = held(docs.select("doc_id", text_of().alias("text")), "w", words(ascii_lower(F.col("text")))).select("doc_id", "w")
+    rows = held(rows.select("doc_id", "w", F.md5(F.array_join("w", " ").cast("binary")).alias("name")), "names", F.transform("w", lambda x: F.xxhash64(x)))
+    made = rows.select("doc_id", "name", F.pandas_udf(_wide, "blocks array<int>, fp array<long>")("names").alias("f"))
+    prints = written(made.where("doc_id is not null").select("doc_id", "name", "f.blocks", "f.fp"), "wide-prints")
+    classes = written(prints.groupBy("name").agg(F.min_by(F.struct("doc_id", "blocks", "fp"), "doc_id").alias("r")).select("name", F.col("r.doc_id").alias("id"), "r.blocks", "r.fp"), "wide-classes")
+    keyed = written(classes.select("id", F.get("fp", 0).alias("first"), F.posexplode("blocks").alias("n", "bits")), "wide-blocks")
+    sizes = keyed.groupBy("n", "bits").agg(
+        F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(F.min(F.struct("id", "first")), F.max(F.struct("id", "first")), F.min_by(F.struct("id", "first"), F.xxhash64("id")))).alias("leaders")
+    ).where("size > 1")
+    few = keyed.join(sizes.where(F.col("size") <= bucket).select("n", "bits"), ["n", "bits"])
+    few = few.groupBy("n", "bits").agg(F.array_sort(F.collect_list(F.struct("id", "first"))).alias("m"))
+    few = few.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    many = keyed.join(sizes.where(F.col("size") > bucket).select("n", "bits", F.slice("leaders", 1, leaders).alias("leaders")), ["n", "bits"])
+    many = many.select(F.struct("id", "first").alias("b"), F.explode("leaders").alias("a")).where("a.id <> b.id")
+    near = few.unionByName(many.select("a", "b")).where(F.bit_count(F.col("a.first").bitwiseXOR(F.col("b.first"))) <= FIRST_BITS)
+    pairs = near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}"))
+    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    links_ = pairs.join(side("a"), "a").join(side("b"), "b").where(distance <= allowed_bits(LEAST, 64 * VERIFY_WORDS)).select("a", "b")
+    roots = components(links_)
+    named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("name", F.coalesce("root", "id").alias("component_id"))
+    return prints.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

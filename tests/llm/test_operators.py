@@ -165,6 +165,31 @@ def test_crowded_buckets_give_the_same_links(spark):
     assert {tuple(sorted(r)) for r in simhash.links(frame, bucket=1000).collect()} == want
 
 
+def test_similar_documents(spark, docs, none):
+    """Exact copies always, edited copies at 0.85 or more (five-word shingles), never unlike texts."""
+    rng = np.random.default_rng(9)
+    vocab = [f"u{i}" for i in range(3000)]
+    rows, near = [], []
+    for g in range(25):
+        base = list(rng.choice(vocab, 300))
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            copy = list(base)
+            for at in rng.choice(300, k, replace=False):
+                copy[at] = "edited"
+            rows.append((10 * g + k, " ".join(copy).replace("u1", "U1")))
+            near.append((10 * g, 10 * g + k))
+        rows.append((10 * g + 5, "  ".join(base)))
+        near.append((10 * g, 10 * g + 5))
+    rows += [(1000, None), (1001, " "), (None, rows[0][1]), (0, rows[0][1])]
+    for bucket in (32, 2):
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+        assert all(found[b] == a for a, b in near) and found[1001] == 1000
+        assert len({c for c in found.values()}) == 26
+    assert simhash.similar_documents(docs).count() == sum(r[0] is not None for r in lots())
+    assert simhash.similar_documents(none).count() == 0
+
+
 def test_licenses(docs, none, spark):
     found = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(docs).collect()}
     for d, t in texts():
