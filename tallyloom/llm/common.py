@@ -91,11 +91,15 @@ def dropped(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def modest_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Send at most ``rows`` rows in an Arrow batch: texts may be very long."""
+def modest_batches(spark: SparkSession, rows: int = 500, size: str = "32m") -> None:
+    """Send at most ``rows`` rows and about ``size`` in an Arrow batch, for texts may be very long.
+
+    This sets the session's configuration; smaller limits stay.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
