@@ -188,9 +188,10 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3) -
     two-word shingles, which an edit disturbs less, gives ``WIDE_BLOCKS`` blocks of ``BLOCK_BITS`` bits: unlike
     documents share none, a pair with single words edited shares one with a probability of 0.99. Pairs that
     share a block are verified by the Hamming distance of a fingerprint of the five-word shingles. Equal word
-    sequences are one document from the start. In a bucket of more than ``bucket`` documents each is compared
-    with up to three leaders (smallest, largest and a hashed id) and not with all; it meets others in its other
-    buckets. Texts without words are alike; null ids are never linked.
+    sequences are one document from the start. First all members of a bucket are compared with its smallest id;
+    then, in buckets of up to ``bucket`` documents, those that this hasn't joined are compared with each other. In
+    larger buckets each is compared with up to three leaders (smallest, largest and a hashed id) and not with all;
+    it meets others in its other buckets. Texts without words are alike; null ids are never linked.
     """
     modest_batches(docs.sparkSession)
     rows = held(docs.select("doc_id", text_of().alias("text")), "w", words(ascii_lower(F.col("text")))).select("doc_id", "w")
@@ -202,16 +203,27 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3) -
     sizes = keyed.groupBy("n", "bits").agg(
         F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(F.min(F.struct("id", "first")), F.max(F.struct("id", "first")), F.min_by(F.struct("id", "first"), F.xxhash64("id")))).alias("leaders")
     ).where("size > 1")
-    few = keyed.join(sizes.where(F.col("size") <= bucket).select("n", "bits"), ["n", "bits"])
-    few = few.groupBy("n", "bits").agg(F.array_sort(F.collect_list(F.struct("id", "first"))).alias("m"))
-    few = few.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    many = keyed.join(sizes.where(F.col("size") > bucket).select("n", "bits", F.slice("leaders", 1, leaders).alias("leaders")), ["n", "bits"])
-    many = many.select(F.struct("id", "first").alias("b"), F.explode("leaders").alias("a")).where("a.id <> b.id")
-    near = few.unionByName(many.select("a", "b")).where(F.bit_count(F.col("a.first").bitwiseXOR(F.col("b.first"))) <= FIRST_BITS)
-    pairs = near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    crowded = F.col("size") > bucket
+    first_of = F.when(crowded, F.slice("leaders", 1, leaders)).otherwise(F.slice("leaders", 1, 1))
+    stars = keyed.join(sizes.select("n", "bits", first_of.alias("leaders")), ["n", "bits"])
+    stars = stars.select(F.struct("id", "first").alias("b"), F.explode("leaders").alias("a")).where("a.id <> b.id")
     side = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}"))
-    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links_ = pairs.join(side("a"), "a").join(side("b"), "b").where(distance <= allowed_bits(LEAST, 64 * VERIFY_WORDS)).select("a", "b")
+
+    def verified(near: DataFrame) -> DataFrame:
+        near = near.where(F.bit_count(F.col("a.first").bitwiseXOR(F.col("b.first"))) <= FIRST_BITS)
+        pairs = near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+        distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(distance <= allowed_bits(LEAST, 64 * VERIFY_WORDS)).select("a", "b")
+
+    star_links = written(verified(stars), "wide-links")
+    joined = written(components(star_links), "wide-joined")
+    few = keyed.join(sizes.where(~crowded & (F.col("size") > 2)).select("n", "bits"), ["n", "bits"])
+    few = few.join(joined.withColumnRenamed("node", "id"), "id", "left").select("n", "bits", "id", "first", F.coalesce("root", "id").alias("root"))
+    few = few.groupBy("n", "bits").agg(F.array_sort(F.collect_list(F.struct("id", "first", "root"))).alias("m"))
+    few = few.where(F.size(F.array_distinct(F.transform("m", lambda x: x["root"]))) > 1)
+    few = few.select(F.explode("m").alias("a"), "m")
+    few = few.select("a", F.explode(F.filter("m", lambda x: (x["id"] > F.col("a.id")) & (x["root"] != F.col("a.root")))).alias("b"))
+    links_ = star_links.unionByName(verified(few))
     roots = components(links_)
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("name", F.coalesce("root", "id").alias("component_id"))
     return prints.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")
