@@ -40,6 +40,7 @@ LEAST_CHI = 6.63
 NEIGHBOURS = 25
 BLOCK = 64
 SHRINK = 0.5
+TASK_ROWS = 4000
 FOLDS = 5
 
 _TOKEN = re.compile(r"\w+")
@@ -243,6 +244,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
         scored = docs.select("doc_id", F.lit(0.0).alias("score"), none[0].alias("evidence"), none[1].alias("cosines"))
     else:
         udf = _scores(docs.sparkSession.sparkContext.broadcast(vars(index)))
+        # The table is small in bytes but dear in time a row, so its file splits alone are too few tasks.
+        every = every.repartition(every.count() // TASK_ROWS + 1)
         scored = every.select("doc_id", udf("places", "counts").alias("s")).select("doc_id", "s.*")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines"
