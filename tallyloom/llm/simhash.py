@@ -18,6 +18,7 @@ document has the same fingerprint group; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -120,6 +121,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
 #: blocks and bits in each, words of 64 bits to verify with, leaders of a crowded bucket.
 SIMILAR_WIDTH, PROPOSE_WIDTH, LEAST = 5, 2, 0.8
 WIDE_BLOCKS, BLOCK_BITS, VERIFY_WORDS = 48, 24, 24
+#: Members on each side of a tile of comparisons.
+TILE = 256
 #: Bits of the first verifying word that may differ before the others are read.
 FIRST_BITS = 18
 
@@ -180,7 +183,47 @@ def _wide(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"blocks": list(blocks), "fp": list(verify)})
 
 
-def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3) -> DataFrame:
+def _close(tiles: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(a, b)`` of every tile: members of the left and the right side with different roots and near fingerprints."""
+    limit, step = allowed_bits(LEAST, 64 * VERIFY_WORDS), 64
+    for batch in tiles:
+        out = [np.empty((0, 2), dtype=np.int64)]
+        for left, right in zip(batch["l"], batch["r"]):
+            (ids, roots, prints), (ids_, roots_, prints_) = ([np.stack([x[c] for x in side]) for c in ("id", "root", "fp")] for side in (left, right))
+            prints, prints_ = prints.view(np.uint64), prints_.view(np.uint64)  # bits are counted without a sign
+            for at in range(0, len(ids), step):
+                rows = slice(at, at + step)
+                differ = sum(np.bitwise_count(prints[rows, None, c] ^ prints_[None, :, c]).astype(np.int32) for c in range(prints.shape[1]))
+                i, j = np.nonzero((differ <= limit) & (roots[rows, None] != roots_[None, :]))
+                out.append(np.sort(np.stack([ids[rows][i], ids_[j]], axis=1), axis=1))
+        yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+
+def _tiled(live: DataFrame, prints: DataFrame, tile: int) -> DataFrame:
+    """Links between all members of a bucket ``(n, bits)`` with different roots, whatever the bucket's size.
+
+    Of two members with different roots one at least is outside the bucket's most frequent root, so the outsiders
+    are compared with all members, in tiles of about ``tile`` by ``tile``. A bucket with one root has no tiles.
+    """
+    key = ["n", "bits"]
+    tops = live.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("c")).groupBy(*key).agg(
+        F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")
+    ).where(F.col("size") > F.col("top.c"))
+    pieces = lambda n: F.ceil(n / F.lit(tile)).cast("int")
+    tops = tops.select(*key, F.col("top.root").alias("main"), pieces(F.col("size") - F.col("top.c")).alias("rows"), pieces(F.col("size")).alias("cols"))
+    members = live.join(tops, key).join(prints, "id")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    member = F.struct("id", "root", "fp").alias("m")
+    left = members.where("root <> main").select(*key, place("rows").alias("i"), every("cols").alias("j"), F.lit(True).alias("outside"), member)
+    right = members.select(*key, every("rows").alias("i"), place("cols").alias("j"), F.lit(False).alias("outside"), member)
+    tiles = left.unionByName(right).groupBy(*key, "i", "j").agg(
+        F.collect_list(F.when(F.col("outside"), F.col("m"))).alias("l"), F.collect_list(F.when(~F.col("outside"), F.col("m"))).alias("r")
+    ).where((F.size("l") > 0) & (F.size("r") > 0))
+    return tiles.select("l", "r").mapInPandas(_close, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id): groups of documents whose sets of five-word shingles have a Jaccard similarity of
     0.8 or more, by wide SimHash fingerprints.
 
@@ -188,10 +231,10 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3) -
     two-word shingles, which an edit disturbs less, gives ``WIDE_BLOCKS`` blocks of ``BLOCK_BITS`` bits: unlike
     documents share none, a pair with single words edited shares one with a probability of 0.99. Pairs that
     share a block are verified by the Hamming distance of a fingerprint of the five-word shingles. Equal word
-    sequences are one document from the start. First all members of a bucket are compared with its smallest id;
-    then, in buckets of up to ``bucket`` documents, those that this hasn't joined are compared with each other. In
-    larger buckets each is compared with up to three leaders (smallest, largest and a hashed id) and not with all;
-    it meets others in its other buckets. Texts without words are alike; null ids are never linked.
+    sequences are one document from the start. First all members of a bucket are compared with its smallest id, or
+    with up to ``leaders`` (smallest, largest and a hashed id) if it has more than ``bucket`` documents; this only
+    saves work. Then all members of every bucket that this hasn't joined are compared with each other, in tiles.
+    Texts without words are alike; null ids are never linked.
     """
     modest_batches(docs.sparkSession)
     rows = held(docs.select("doc_id", text_of().alias("text")), "w", words(ascii_lower(F.col("text")))).select("doc_id", "w")
@@ -217,13 +260,9 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3) -
 
     star_links = written(verified(stars), "wide-links")
     joined = written(components(star_links), "wide-joined")
-    few = keyed.join(sizes.where(~crowded & (F.col("size") > 2)).select("n", "bits"), ["n", "bits"])
-    few = few.join(joined.withColumnRenamed("node", "id"), "id", "left").select("n", "bits", "id", "first", F.coalesce("root", "id").alias("root"))
-    few = few.groupBy("n", "bits").agg(F.array_sort(F.collect_list(F.struct("id", "first", "root"))).alias("m"))
-    few = few.where(F.size(F.array_distinct(F.transform("m", lambda x: x["root"]))) > 1)
-    few = few.select(F.explode("m").alias("a"), "m")
-    few = few.select("a", F.explode(F.filter("m", lambda x: (x["id"] > F.col("a.id")) & (x["root"] != F.col("a.root")))).alias("b"))
-    links_ = star_links.unionByName(verified(few))
+    live = keyed.join(sizes.where("size > 2").select("n", "bits"), ["n", "bits"]).join(joined.withColumnRenamed("node", "id"), "id", "left")
+    live = live.select("n", "bits", "id", F.coalesce("root", "id").alias("root"))
+    links_ = star_links.unionByName(_tiled(live, classes.select("id", "fp"), tile))
     roots = components(links_)
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("name", F.coalesce("root", "id").alias("component_id"))
     return prints.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")

@@ -190,6 +190,22 @@ def test_similar_documents(spark, docs, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_similar_documents_around_a_hub_in_crowded_buckets(spark):
+    """Copies that are like an original with a middle id, but unlike each other, all join it."""
+    rng = np.random.default_rng(4)
+    base, rows = [f"h{i}" for i in range(300)], []
+    for k in range(1000):
+        copy = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            copy[at] = f"c{k}x{at}"
+        rows.append((k if k < 500 else k + 1, " ".join(copy)))
+    rows.append((500, " ".join(base)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (64, 256):
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, tile=tile).collect()}
+        assert sum(c == found[500] for c in found.values()) >= 985
+
+
 def test_licenses(docs, none, spark):
     found = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(docs).collect()}
     for d, t in texts():
