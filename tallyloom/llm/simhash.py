@@ -117,10 +117,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Similar documents: words in the shingles that are compared and in those that propose, the least similarity,
-#: blocks and bits in each, words of 64 bits to verify with, leaders of a crowded bucket.
-SIMILAR_WIDTH, PROPOSE_WIDTH, LEAST = 5, 2, 0.8
-WIDE_BLOCKS, BLOCK_BITS, VERIFY_WORDS = 48, 24, 24
+#: Similar documents: words in a shingle, the least similarity, bands that propose pairs and minima in each, words
+#: of 64 bits to verify with.
+SIMILAR_WIDTH, LEAST = 5, 0.8
+BANDS, MINIMA, VERIFY_WORDS = 40, 8, 24
 #: Members on each side of a tile of comparisons.
 TILE = 256
 #: Bits of the first verifying word that may differ before the others are read.
@@ -173,14 +173,29 @@ def wide_bits(names: np.ndarray, begin: np.ndarray, words_: int, salt: int) -> n
     return bits
 
 
+#: Odd factors that reorder the shingle names, one for each minimum.
+_FACTORS = _mixed(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def bands(names: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(texts, BANDS): each band mixes the minima of a text's shingles in ``MINIMA`` orders; 0 without shingles.
+
+    Two texts have equal minima in one order with the probability of their Jaccard similarity ``j``, wherever they
+    differ, and so share a band with 1 - (1 - j ** MINIMA) ** BANDS: 0.9993 at 0.8.
+    """
+    full = np.nonzero(np.diff(begin))[0]
+    out = np.zeros((len(begin) - 1, BANDS), dtype=np.uint64)
+    order = np.empty_like(names)
+    for n, factor in enumerate(_FACTORS if len(full) else ()):
+        least = np.minimum.reduceat(np.multiply(names, factor, out=order), begin[full])  # names are random already
+        out[full, n // MINIMA] = _mixed(out[full, n // MINIMA] * np.uint64(3) + least)
+    return out.view(np.int64)
+
+
 def _wide(names: pd.Series) -> pd.DataFrame:
-    texts = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in names]
-    need = -(-WIDE_BLOCKS * BLOCK_BITS // 64)
-    proposed = wide_bits(*_shingle_sets(texts, PROPOSE_WIDTH), need, 1)[:, : WIDE_BLOCKS * BLOCK_BITS]
-    places = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
-    blocks = (proposed.reshape(len(texts), WIDE_BLOCKS, BLOCK_BITS) * places).sum(axis=2).astype(np.int32)
-    verify = np.packbits(wide_bits(*_shingle_sets(texts, SIMILAR_WIDTH), VERIFY_WORDS, 1000), axis=1, bitorder="little").view("<i8")
-    return pd.DataFrame({"blocks": list(blocks), "fp": list(verify)})
+    sets = _shingle_sets([np.asarray(x, dtype=np.int64).view(np.uint64) for x in names], SIMILAR_WIDTH)
+    verify = np.packbits(wide_bits(*sets, VERIFY_WORDS, 1000), axis=1, bitorder="little").view("<i8")
+    return pd.DataFrame({"blocks": list(bands(*sets)), "fp": list(verify)})
 
 
 def _close(tiles: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,10 +242,9 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3, t
     """(doc_id, component_id): groups of documents whose sets of five-word shingles have a Jaccard similarity of
     0.8 or more, by wide SimHash fingerprints.
 
-    A pair at 0.8 differs in 15 % of the bits, too many for the pigeonholes of 64 bits. So a fingerprint of
-    two-word shingles, which an edit disturbs less, gives ``WIDE_BLOCKS`` blocks of ``BLOCK_BITS`` bits: unlike
-    documents share none, a pair with single words edited shares one with a probability of 0.99. Pairs that
-    share a block are verified by the Hamming distance of a fingerprint of the five-word shingles. Equal word
+    A pair at 0.8 differs in 15 % of the bits, too many for pigeonholes. So minima of the shingles in ``BANDS`` bands
+    of ``MINIMA`` propose the pairs: one at 0.8 shares a band with a probability of 0.9993, whatever the edit. Pairs
+    that share a band are verified by the Hamming distance of a wide fingerprint of the same shingles. Equal word
     sequences are one document from the start. First all members of a bucket are compared with its smallest id, or
     with up to ``leaders`` (smallest, largest and a hashed id) if it has more than ``bucket`` documents; this only
     saves work. Then all members of every bucket that this hasn't joined are compared with each other, in tiles.
@@ -239,7 +253,7 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3, t
     modest_batches(docs.sparkSession)
     rows = held(docs.select("doc_id", text_of().alias("text")), "w", words(ascii_lower(F.col("text")))).select("doc_id", "w")
     rows = held(rows.select("doc_id", "w", F.md5(F.array_join("w", " ").cast("binary")).alias("name")), "names", F.transform("w", lambda x: F.xxhash64(x)))
-    made = rows.select("doc_id", "name", F.pandas_udf(_wide, "blocks array<int>, fp array<long>")("names").alias("f"))
+    made = rows.select("doc_id", "name", F.pandas_udf(_wide, "blocks array<long>, fp array<long>")("names").alias("f"))
     prints = written(made.where("doc_id is not null").select("doc_id", "name", "f.blocks", "f.fp"), "wide-prints")
     classes = written(prints.groupBy("name").agg(F.min_by(F.struct("doc_id", "blocks", "fp"), "doc_id").alias("r")).select("name", F.col("r.doc_id").alias("id"), "r.blocks", "r.fp"), "wide-classes")
     keyed = written(classes.select("id", F.get("fp", 0).alias("first"), F.posexplode("blocks").alias("n", "bits")), "wide-blocks")
