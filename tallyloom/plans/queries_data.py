@@ -214,6 +214,13 @@ def header_map(spark, sf):
     return textops.map_headers(table(spark, sf, "documents").select(F.substring("text", 1, 12).alias("text")), needles)
 
 
+@query("header_map_lines")
+def header_map_lines(spark, sf):
+    """Whole lines of all documents as headers; ``header_map`` is bound by its SQL to the first 12 characters."""
+    needles = spark.createDataFrame(list(NEEDLES), "needle string, party_id string, ord int")
+    return textops.map_headers(table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("text")), needles)
+
+
 @query("normalize_text", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{0591}-\x{05BD}\x{05BF}-\x{05C7}]', '', 'g'), '["''`\x{05F3}\x{05F4}\x{2018}\x{2019}\x{201C}\x{201D}]', '', 'g'), '[\x{05BE}\x{2010}-\x{2015}-]', ' ', 'g'),
 '[\s\v\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{2028}\x{2029}]+', ' ', 'g')) AS text FROM documents""")
 def normalize_text(spark, sf):

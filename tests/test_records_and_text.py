@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyloom.operators import quality, report, textops
-from tallyloom.plans import catalog
+from tallyloom.plans import catalog, queries_data
 from tallyloom.sources import readers, sinks
 from tallyloom.streaming import ingest
 
@@ -166,6 +166,17 @@ def test_queries_equal_their_sql(spark, name):
     assert number(norm(got)) == number(norm(want))
 
 
+def test_header_map_of_whole_lines(spark):
+    """Every line of every document is mapped by all its letters, needles after the 12th character too."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None]
+    key = lambda x: "".join(c for c in x if c.isalpha()).lower()
+    first = lambda k: next((party for needle, party, _ in sorted(queries_data.NEEDLES, key=lambda n: n[2]) if needle in k), None)
+    want = {x: first(key(x)) for t in texts for x in t.split("\n")}
+    got = {r.text: r.party_id for r in catalog.queries()["header_map_lines"](spark, SF).collect()}
+    assert got == want
+    assert any(first(key(x[:12])) != party for x, party in want.items())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
