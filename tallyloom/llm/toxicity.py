@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine over selected words, exact over these.
 
 Fitting: up to ``EXAMPLES`` labelled rows (half of each class, the smallest MD5 of the id; the bound is the
 parameter ``examples``) with distinct texts become the index. Its terms are the ``terms`` words that mark toxic rows
