@@ -1,19 +1,22 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine over selected words, exact over these.
-
-Fitting: up to ``EXAMPLES`` labelled rows (half of each class, the smallest MD5 of the id; the bound is the
-parameter ``examples``) with distinct texts become the index. Its terms are the ``terms`` words that mark toxic rows
-best among these (chi-square, significant, and at least ``LEAST_LIFT`` times as frequent there). Document frequencies for IDF count all documents.
-
-Scoring: the index is inverted and cut into blocks of ``BLOCK`` examples; each term keeps its largest weight in
-each block. The bound of a block is the sum over the query's terms of query weight times that maximum; blocks
-are scored in order of their bounds until the next bound can't reach the k-th best, so the k nearest are exact.
-Votes are weighted by cosine and by the class's share of all labels, shrunk to the prior, and mapped to a
-probability by isotonic regression over the examples' own leave-one-out votes.
-
-Edge cases: a null or empty text, or one without a known term, has no neighbours and scores the share of toxic
-labels among such examples; labels that are null, repeated (the largest counts) or without a document are left
-out; without any labelled row, scores are 0; a null id is not held out; rows with the same id are scored each;
-an empty table gives no rows; other columns are ignored.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine over all their words.
+
+Fitting: up to ``examples`` labelled rows (half of each class, the smallest MD5 of the id; texts of more than
+``LONGEST`` characters are not drawn) with distinct texts become the index. Every word of every example is a term.
+A term weighs ``(1 + ln count) * idf * rf``: IDF counts all documents of the table, and the relevance frequency
+``rf = log2(2 + toxic / max(1, other))`` counts the examples of either class that have the term. No term is left
+out; ``relevance=False`` sets rf to 1.
+
+Scoring: the index is inverted. A term's postings stand in order of the examples, cut into blocks of ``BLOCK``
+examples, and each (term, block) keeps its largest weight. The bound of a block is the sum over the query's terms of
+query weight times that maximum; blocks are scored in order of their bounds, in growing batches, until the next bound
+can't reach the k-th best, so the k nearest are exact. Votes are weighted by cosine and by the class's share of all
+labels, shrunk to the prior, and mapped to a probability by isotonic regression over the examples' own leave-one-out
+votes. The nearest examples and their cosines are the evidence.
+
+Edge cases: a null or empty text, or one without a word of any example, has no neighbours and scores the share of
+toxic labels among such examples; labels that are null, repeated (the largest counts) or without a document are left
+out; without any labelled row, scores are 0; a null id is not held out; rows with the same id are scored each; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,27 +24,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import modest_batches, table, text_of, written
+from tallyloom.llm.common import modest_batches, table, text_of
 
-EXAMPLES = 4000
-TERMS = 512
-LEAST_DF = 5
-#: A term is known if its share among toxic examples is so many times that among the others, and its
-#: chi-square is significant at 1 %.
-LEAST_LIFT = 2.0
-LEAST_CHI = 6.63
+#: Bounds of the labelled sample: rows, and characters of one text.
+EXAMPLES, LONGEST = 4000, 200_000
 NEIGHBOURS = 25
 BLOCK = 64
 SHRINK = 0.5
-TASK_ROWS = 4000
 FOLDS = 5
+EVIDENCE = 3
 
 _TOKEN = re.compile(r"\w+")
 
@@ -54,54 +52,85 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0] .. last[0] - 1, first[1] .. last[1] - 1, ... in one array."""
+    size = last - first
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+
 @dataclass(frozen=True)
 class Index:
-    """Examples (ids, labels, class weights), terms with IDF, postings (term, block, place) and block maxima."""
+    """Examples (ids, labels, class weights), terms with their factor (idf * rf), and the inverted index: the
+    postings (example, weight) of term t are ``at[t]:at[t + 1]``; its blocks (number, largest weight, and where
+    their postings begin and end) are ``block_at[t]:block_at[t + 1]``."""
 
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     terms: dict[str, int]
-    idf: np.ndarray
-    postings: np.ndarray
-    maxima: np.ndarray
+    factor: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+    block_at: np.ndarray
+    block: np.ndarray
+    top: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
     prior: float
+    silent: float
     steps: np.ndarray
     levels: np.ndarray
-    silent: float
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text, rising, and how often it has each."""
+        found = Counter(map(self.terms.get, tokens(text)))
+        found.pop(None, None)
+        places = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(places)
+        return places[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
     def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[places]
+        w = (1 + np.log(counts)) * self.factor[places]
         norm = np.sqrt((w * w).sum())
-        return (w / norm if norm else w).astype(np.float32)
+        return w / norm if norm else w
 
     def nearest(self, places: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact k nearest examples with a cosine above 0 (ties: the earlier example), and their cosines."""
-        bounds = q @ self.maxima[places]
+        first, last = self.block_at[places], self.block_at[places + 1]
+        entries, mine = _ranges(first, last), np.repeat(q, last - first)
+        blocks = self.block[entries]
+        bounds = np.bincount(blocks, self.top[entries] * mine, minlength=-(-len(self.ids) // BLOCK))
         order = np.argsort(-bounds, kind="stable")
-        found, scores, kth = np.empty(0, np.int64), np.empty(0, np.float32), 0.0
-        for b in order:
-            if bounds[b] <= 0 or len(found) >= k and bounds[b] < kth - 1e-6:
-                break
-            s = q @ self.postings[places, b]
-            at = np.nonzero(s > 0)[0]
-            found, scores = np.concatenate([found, at + b * BLOCK]), np.concatenate([scores, s[at]])
-            if skip >= 0 and (own := found == skip).any():
-                found, scores = found[~own], scores[~own]
-            if len(found) > k:
-                best = np.lexsort((found, -scores))[:k]
-                found, scores = found[best], scores[best]
-            kth = scores.min() if len(found) >= k else 0.0
-        best = np.lexsort((found, -scores))
-        return found[best], scores[best]
+        scores, kth, done, step = np.zeros(len(self.ids)), 0.0, 0, 2
+        while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= kth - 1e-9:
+            chosen = np.zeros(len(bounds), bool)
+            chosen[order[done : done + step]] = True
+            rows = np.nonzero(chosen[blocks])[0]
+            begin, end = self.begin[entries[rows]], self.end[entries[rows]]
+            posts = _ranges(begin, end)
+            scores += np.bincount(self.example[posts], self.weight[posts] * np.repeat(mine[rows], end - begin), minlength=len(scores))
+            done, step = done + step, 2 * step
+            if skip >= 0:
+                scores[skip] = 0.0
+            kth = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        near = np.nonzero(scores >= kth)[0] if kth > 0 else np.nonzero(scores > 0)[0]
+        near = near[np.lexsort((near, -scores[near]))][:k]
+        return near, scores[near]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine * self.weights[near]
         shrink = SHRINK * float(self.weights.mean())
         return float(((w * self.labels[near]).sum() + shrink * self.prior) / (w.sum() + shrink))
 
-    def probability(self, vote: float) -> float:
-        return float(np.interp(vote, self.steps, self.levels)) if len(self.steps) else self.prior
+    def judge(self, text: str) -> tuple[float, list[int], list[float]]:
+        """The score of a text, and its evidence: the ids of the nearest examples and their cosines."""
+        places, counts = self.counts(text)
+        near, cosine = self.nearest(places, self.vector(places, counts)) if len(places) else (places, places)
+        if not len(near):
+            return self.silent, [], []
+        score = float(np.interp(self.vote(near, cosine), self.steps, self.levels)) if len(self.steps) else self.prior
+        return score, self.ids[near[:EVIDENCE]].tolist(), cosine[:EVIDENCE].tolist()
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,147 +152,122 @@ def _sample(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[DataFram
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     half = [known.where(F.col("toxic") == c).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(examples // 2) for c in (0, 1)]
     chosen = half[0].unionByName(half[1])
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("name")).agg(
-        F.min_by(F.struct("doc_id", "toxic", "text"), "doc_id").alias("r")
-    )
+    texts = docs.select("doc_id", text_of().alias("text")).where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")  # at most ``examples`` rows
+    texts = texts.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("name")).agg(F.min_by(F.struct("doc_id", "toxic", "text"), "doc_id").alias("r"))
     return texts.select("r.*"), sizes
 
 
-def _term_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for doc_id, toxic, text in batch.itertuples(index=False):
-            counts = Counter(tokens(text))
-            yield pd.DataFrame({"doc_id": doc_id, "toxic": toxic, "term": list(counts), "n": list(counts.values())})
-
-
-def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many documents of the partition have each known term: one row for each term at most."""
-    counts: Counter = Counter()
-    for batch in batches:
-        for places in batch["places"]:
-            counts.update(places.tolist())
-    yield pd.DataFrame({"p": list(counts), "n": list(counts.values())})
-
-
-def _vectors(terms: dict[str, int]):
-    def run(text: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in text:
-            counts = Counter(map(terms.get, tokens(t)))
-            counts.pop(None, None)
-            places = sorted(counts)
-            out.append((places, [counts[p] for p in places]))
-        return pd.DataFrame(out, columns=["places", "counts"])
+def document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """How many documents have each term, and how many documents there are. Each task counts all it reads and sends
+    one row for each term it met; term ``len(terms)`` stands for the documents themselves."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    return F.pandas_udf(run, "places array<int>, counts array<int>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        total = np.zeros(len(known) + 1, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                places = set(map(known.get, tokens(text)))
+                places.discard(None)
+                total[np.fromiter(places, np.int64, len(places))] += 1
+            total[-1] += len(batch)
+        met = np.nonzero(total)[0]
+        yield pd.DataFrame({"p": met, "n": total[met]})
 
+    counted = docs.select(text_of().alias("text")).mapInPandas(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[counted["p"].to_numpy()] = counted["n"]
+    return out[:-1], int(out[-1])
 
-def vectors(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """(doc_id, places, counts): the known terms of every document, as a work table."""
-    udf = _vectors(terms)
-    return written(docs.select("doc_id", udf(text_of()).alias("v")).select("doc_id", "v.*"), "tox-vectors")
 
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[Index | None, DataFrame | None]:
-    """The index, and the term vectors of all documents from which its document frequencies come."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True) -> Index | None:
+    """The index over the labelled sample; None without labelled rows."""
     modest_batches(docs.sparkSession)
     sample, sizes = _sample(docs, labels, examples)
-    rows = written(sample.mapInPandas(_term_rows, "doc_id long, toxic int, term string, n int"), "tox-terms")
-    classes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
-    if not classes:
-        return None, None
-    n0, n1 = (float(classes.get(c, 0)) for c in (0, 1))
-    stats = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("d1")).where(F.col("df") >= LEAST_DF)
-    expected = F.col("df") * (n1 / (n0 + n1))
-    chi = F.pow(F.col("d1") - expected, F.lit(2.0)) / expected + F.pow(F.col("d1") - expected, F.lit(2.0)) / (F.col("df") - expected + 1e-9)
-    lift = F.col("d1") * n0 >= LEAST_LIFT * (F.col("df") - F.col("d1")) * n1
-    chosen = stats.where(lift & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms).select("term")
-    names = {r["term"]: i for i, r in enumerate(chosen.collect())}
-    every = vectors(docs, names)
-    total = every.count()
-    counted = every.select("places").mapInPandas(_document_counts, "p int, n long")
-    df = {r["p"]: r["n"] for r in counted.groupBy("p").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + total) / (1 + df.get(p, 0))) + 1 for p in range(len(names))])
-    listed = rows.join(F.broadcast(chosen), "term", "left_semi").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("term", "n")).alias("v"))
-    silent = sample.select("doc_id", "toxic").join(listed.select("doc_id"), "doc_id", "left_anti").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    return _build(listed.orderBy("doc_id").collect(), {r["toxic"]: r["n"] for r in silent}, sizes, names, idf), every
-
-
-def _build(listed: list, silent: dict[int, int], sizes: dict[int, int], names: dict[str, int], idf: np.ndarray) -> Index:
-    """The index over at most ``examples`` rows; ``silent`` counts the examples without a known term."""
-    n, labels = len(listed), np.array([r["toxic"] for r in listed], dtype=np.int64)
-    drawn = {c: int((labels == c).sum()) + silent.get(c, 0) for c in (0, 1)}
-    share = {c: sizes.get(c, 0) / max(1, drawn[c]) for c in (0, 1)}
-    weights = np.array([share[c] for c in labels], dtype=np.float64)
-    blocks = max(1, -(-n // BLOCK))
-    postings = np.zeros((max(1, len(names)), blocks, BLOCK), dtype=np.float32)
+    rows = sample.toPandas().sort_values(["toxic", "doc_id"])  # a class's examples share blocks
+    if rows.empty:
+        return None
+    names: dict[str, int] = {}
+    found = [Counter(tokens(t)) for t in rows["text"]]
+    for words in found:
+        for word in words:
+            names.setdefault(word, len(names))
+    df, total = document_counts(docs, names)
+    ids, labels_ = rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64)
+    return build(ids, labels_, [({names[w]: n for w, n in words.items()}) for words in found], sizes, names, df, total, relevance)
+
+
+def build(ids: np.ndarray, labels: np.ndarray, counts: list[dict[int, int]], sizes: dict[int, int], names: dict[str, int], df: np.ndarray, total: int, relevance: bool) -> Index:
+    """The index of examples with these term counts; ``sizes`` counts all labels by class."""
+    owner = np.repeat(np.arange(len(ids)), [len(c) for c in counts])
+    term = np.concatenate([np.fromiter(c, np.int64, len(c)) for c in counts])
+    often = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in counts])
+    factor = np.log((1 + total) / (1 + df)) + 1
+    if relevance:
+        toxic = np.bincount(term, labels[owner], minlength=len(names))
+        factor *= np.log2(2 + toxic / np.maximum(1, np.bincount(term, minlength=len(names)) - toxic))
+    weight = (1 + np.log(often)) * factor[term]
+    weight /= np.sqrt(np.bincount(owner, weight * weight, minlength=len(ids)))[owner]
+    order = np.lexsort((owner, term))
+    owner, term, weight = owner[order], term[order], weight[order]
+    block = owner // BLOCK
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    begin = np.nonzero(new)[0]
+    share = np.array([sizes.get(c, 0) / max(1, int((labels == c).sum())) for c in (0, 1)])
+    weights = share[labels]
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    quiet = sum(silent.get(c, 0) * share[c] for c in (0, 1))
+    quiet = np.array([len(c) == 0 for c in counts])
+    silent = float((weights * labels)[quiet].sum() / weights[quiet].sum()) if quiet.any() else prior
     index = Index(
-        np.array([r["doc_id"] for r in listed], dtype=np.int64), labels, weights, names, idf, postings,
-        np.zeros((len(postings), blocks), np.float32), prior, np.empty(0), np.empty(0), silent.get(1, 0) * share[1] / quiet if quiet else prior,
+        ids, labels, weights, names, factor, owner.astype(np.int32), weight, np.searchsorted(term[begin], np.arange(len(names) + 1)), block[begin],
+        np.maximum.reduceat(weight, begin) if len(begin) else weight, begin, np.append(begin[1:], len(term)), prior, silent, np.empty(0), np.empty(0),
     )
-    queries = []
-    for e, row in enumerate(listed):
-        places, counts = np.array(sorted((names[x["term"]], x["n"]) for x in row["v"])).T
-        q = index.vector(places, counts)
-        postings[places, e // BLOCK, e % BLOCK] = q
-        queries.append((places, q))
-    index.maxima[:] = postings.max(axis=2)
-    if not n:
+    votes = []
+    for e, c in enumerate(counts):
+        p = np.array(sorted(c), dtype=np.int64)
+        if len(p):
+            votes.append((e, index.vote(*index.nearest(p, index.vector(p, np.array([c[x] for x in p])), skip=e))))
+    if not votes:
         return index
-    votes = np.array([index.vote(*index.nearest(p, q, skip=e)) for e, (p, q) in enumerate(queries)])
-    steps, levels = isotonic(votes, labels.astype(float), weights)
-    return Index(**{**index.__dict__, "steps": steps, "levels": levels})
-
-
-def _scores(shared):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        index = Index(**shared.value)
-        for places, counts in batches:
-            out = []
-            for p, c in zip(places, counts):
-                if len(p) == 0:
-                    out.append((index.silent, [], []))
-                    continue
-                near, cosine = index.nearest(np.asarray(p), index.vector(np.asarray(p), np.asarray(c)))
-                score = index.probability(index.vote(near, cosine)) if len(near) else index.silent
-                out.append((score, index.ids[near[:3]].tolist(), cosine[:3].astype(float).tolist()))
-            yield pd.DataFrame(out, columns=["score", "evidence", "cosines"])
+    e, x = np.array([v[0] for v in votes]), np.array([v[1] for v in votes])
+    steps, levels = isotonic(x, labels[e].astype(float), weights[e])
+    return Index(**{**vars(index), "steps": steps, "levels": levels})
+
+
+def _scores(index: Index, spark: SparkSession):
+    shared = spark.sparkContext.broadcast({f.name: getattr(index, f.name) for f in fields(index)})  # at most ``examples`` rows
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Index(**shared.value)
+        for texts in batches:
+            yield pd.DataFrame([known.judge(t) for t in texts], columns=["score", "evidence", "cosines"])
 
     return F.pandas_udf(run, "score double, evidence array<long>, cosines array<double>")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, examples: int, relevance: bool) -> DataFrame:
+    """``docs`` with ``_s``: score, evidence, cosines. Nothing is shuffled."""
+    index = fit(docs, labels, examples, relevance)
+    if index is None:
+        none = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"), F.array().cast("array<double>").alias("cosines"))
+        return docs.select(F.struct(*docs.columns).alias("_row"), none.alias("_s"))
+    return docs.select(F.struct(*docs.columns).alias("_row"), text_of().alias("_t")).select("_row", _scores(index, docs.sparkSession)("_t").alias("_s"))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted, evidence (ids of the nearest examples),
     cosines."""
-    index, every = fit(docs, labels, examples, terms)
-    if index is None:
-        none = F.array().cast("array<long>"), F.array().cast("array<double>")
-        scored = docs.select("doc_id", F.lit(0.0).alias("score"), none[0].alias("evidence"), none[1].alias("cosines"))
-    else:
-        udf = _scores(docs.sparkSession.sparkContext.broadcast(vars(index)))
-        # The table is small in bytes but dear in time a row, so its file splits alone are too few tasks.
-        every = every.repartition(every.count() // TASK_ROWS + 1)
-        scored = every.select("doc_id", udf("places", "counts").alias("s")).select("doc_id", "s.*")
+    scored = _scored(docs.select("doc_id", "text"), labels, examples, relevance).select("_row.doc_id", "_s.*")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines"
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True) -> DataFrame:
     """The rows of ``docs`` whose score is under 0.5, all columns as they are and nothing shuffled."""
-    index, _ = fit(docs, labels, examples, terms)
-    if index is None:
-        return docs
-    found = _vectors(index.terms)(text_of())
-    scored = docs.select(F.struct(*docs.columns).alias("_row"), found.alias("_v"))
-    udf = _scores(docs.sparkSession.sparkContext.broadcast(vars(index)))
-    scored = scored.select("_row", udf("_v.places", "_v.counts").alias("_s"))
-    return scored.where(F.col("_s.score") < 0.5).select("_row.*")
+    return _scored(docs, labels, examples, relevance).where(F.col("_s.score") < 0.5).select("_row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

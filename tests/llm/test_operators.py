@@ -320,17 +320,39 @@ def test_toxicity_neighbours_are_exact_and_hold_out_is_accurate(spark):
     assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     held = [r for r in out if r.doc_id is not None and r.held_out and r.doc_id < 600]
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
-    index, every = toxicity.fit(docs, marks)
-    dense = index.postings.reshape(len(index.postings), -1)
-    for r in every.limit(80).collect():
-        if not r.places:
-            continue
-        p = np.array(r.places)
-        q = index.vector(p, np.array(r.counts))
-        near, cosine = index.nearest(p, q)
-        full = q @ dense[p]
-        order = np.lexsort((np.arange(len(full)), -full))[: toxicity.NEIGHBOURS]
-        assert cosine == pytest.approx(full[order][full[order] > 0], abs=1e-5)
+    # Cosines over all words of the whole texts, counted here, against the index.
+    index = toxicity.fit(docs, marks)
+    plain = [(d, Counter(re.findall(r"\w+", (t or "").lower()))) for d, t in rows]
+    df = Counter(w for _, c in plain for w in c)
+    chosen = {int(d): int(index.labels[i]) for i, d in enumerate(index.ids)}
+    words_of = {}
+    for d, c in plain:
+        if d in chosen:
+            words_of.setdefault(d, c)
+    assert set(index.terms) == {w for c in words_of.values() for w in c}
+    toxic, every = Counter(), Counter()
+    for d, c in words_of.items():
+        every.update(set(c))
+        toxic.update(w for w in c if chosen[d])
+    factor = {w: (np.log((1 + len(rows)) / (1 + df[w])) + 1) * np.log2(2 + toxic[w] / max(1, every[w] - toxic[w])) for w in every}
+
+    def unit(c):
+        v = {w: (1 + np.log(n)) * factor[w] for w, n in c.items() if w in factor}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = {d: unit(c) for d, c in words_of.items()}
+    shown = defaultdict(list)
+    for r in out:
+        shown[r.doc_id].append(r)
+    for d, c in plain[::7]:
+        q = unit(c)
+        cosine = np.array([sum(x * units[int(e)].get(w, 0.0) for w, x in q.items()) for e in index.ids])
+        order = np.lexsort((np.arange(len(cosine)), -cosine))[: toxicity.NEIGHBOURS]
+        p, n = index.counts(" ".join(w for w, k in c.items() for _ in range(k)))
+        near, got = index.nearest(p, index.vector(p, n)) if len(p) else ([], [])
+        assert list(got) == pytest.approx(cosine[order][cosine[order] > 0], abs=1e-9)
+        assert any(r.cosines == pytest.approx(list(got)[:3], abs=1e-9) for r in shown[d])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score_toxicity(empty, marks).count() == 0
     assert {r.score for r in toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0.0}
