@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -61,34 +60,40 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+DATABASE = "tallyloom_work"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where that setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary folder; a
+    cluster must name one that the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-work")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet work table in the shared folder and read it again: its lineage ends there."""
+def written(df: DataFrame, name: str, partitions: tuple[str, ...] = (), buckets: int = 0, key: str = "key") -> DataFrame:
+    """``df`` as a Parquet work table in the shared folder: its lineage ends there. With ``buckets`` the table is
+    bucketed and sorted by ``key``, one file a bucket if ``df`` is dealt out by it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{shared_folder(spark).rstrip('/')}/{DATABASE}'")
+    table_ = f"{DATABASE}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet")
+    writer = writer.partitionBy(*partitions) if partitions else writer
+    writer = writer.bucketBy(buckets, key).sortBy(key) if buckets else writer
+    writer.saveAsTable(table_)
+    out = spark.table(table_)
+    out.work_table = table_
+    return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete work tables that no later step reads, and let Spark drop the shuffle files behind them."""
+    """Delete work tables that no later step reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.work_table}")
 
 
 def modest_batches(spark: SparkSession, rows: int = 500, size: str = "32m") -> None:

@@ -1,10 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A line's key is the line stripped of spaces with A-Z lower-cased; keys that stand in at least ``min_docs``
-documents lose all their lines. Counts live in runs: Parquet tables of ``(key, docs)`` sorted by key. Each new
-batch is counted, merge-anti-joins the settled run (keys that have already reached ``min_docs`` need no more
-counting) and adds its own run; ``fanout`` runs of a level are compacted to one of the next, and what reaches
-``min_docs`` there moves to the settled run. Rerunning a batch after a failure starts from written runs.
+documents lose all their lines. Counts live in runs: tables of ``(key, docs)``, bucketed and sorted by key, all with
+the same buckets, so that joins of runs merge bucket with bucket and shuffle nothing. Each new batch is counted,
+merge-anti-joins the settled runs (keys that have already reached ``min_docs`` need no more counting) and adds its
+own run; ``fanout`` runs of a level are merged to one of the next, and what reaches ``min_docs`` there moves to a
+settled run. A store can be saved and opened again for the next batch; rerunning a batch after a failure starts from
+its written runs.
 
 Edge cases: a null or empty text is one empty line; lines whose key is empty always stay; every row is a
 document of its own for the counts, also where ids repeat or are null; an empty table gives no rows; other
@@ -19,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LOWER, SPACES, UPPER, dropped, modest_batches, table, text_of, written
+from tallyloom.llm.common import DATABASE, LOWER, SPACES, UPPER, dropped, modest_batches, shared_folder, table, text_of, written
 
 MIN_DOCS = 10
 BATCHES = 4
 FANOUT = 2
+#: Keys of a bucket of the runs, about, and the most buckets (a limit of Spark).
+BUCKET_KEYS, MOST_BUCKETS = 1_000_000, 100_000
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -52,24 +56,27 @@ def _keep(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
 
 
 class LineRuns:
-    """The levelled store of line counts: ``levels[i]`` lists runs, ``settled`` holds keys at ``min_docs``."""
+    """The levelled store of line counts: ``levels[i]`` lists runs, ``settled`` the runs of keys at ``min_docs``."""
 
-    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int = 1):
+        self.min_docs, self.fanout, self.buckets = min_docs, fanout, buckets
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of ``(key)`` rows, one for each document and distinct key."""
+        counted = batch.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).repartition(self.buckets, "key")
         for run in self.settled:
-            batch = batch.join(run.select("key"), "key", "left_anti")
-        counted = batch.groupBy("key").agg(F.count(F.lit(1)).alias("docs"))
-        self._put(0, written(counted.sortWithinPartitions("key"), "line-run"))
+            counted = counted.join(run.select("key").hint("merge"), "key", "left_anti")
+        self._put(0, self._run(counted))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
+    def _run(self, rows: DataFrame) -> DataFrame:
+        return written(rows, "line-run", buckets=self.buckets)
+
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
@@ -77,10 +84,9 @@ class LineRuns:
 
     def _compact(self, level: int) -> None:
         runs, self.levels[level] = self.levels[level], []
-        merged = written(_total(runs).sortWithinPartitions("key"), "line-run")
-        done = written(merged.where(F.col("docs") >= self.min_docs), "line-settled")
-        self._put(level + 1, written(merged.where(F.col("docs") < self.min_docs), "line-run"))
-        self.settled.append(done)
+        merged = self._run(_merged(runs))
+        self.settled.append(self._run(merged.where(F.col("docs") >= self.min_docs)))
+        self._put(level + 1, self._run(merged.where(F.col("docs") < self.min_docs)))
         dropped(merged, *runs)
 
     def frequent(self) -> DataFrame:
@@ -88,18 +94,48 @@ class LineRuns:
         open_runs = [run for level in self.levels for run in level]
         out = [run.select("key") for run in self.settled]
         if open_runs:
-            out.append(_total(open_runs).where(F.col("docs") >= self.min_docs).select("key"))
+            out.append(_merged(open_runs).where(F.col("docs") >= self.min_docs).select("key"))
         union = out[0]
         for x in out[1:]:
             union = union.unionByName(x)
         return union
 
-
-def _total(runs: list[DataFrame]) -> DataFrame:
-    union = runs[0]
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Write which runs the store has to ``folder``; the runs stay where they are."""
+        runs = [(-1, run) for run in self.settled] + [(n, run) for n, level in enumerate(self.levels) for run in level]
+        at = lambda run: spark.sql(f"DESCRIBE FORMATTED {run.work_table}").where("col_name = 'Location'").first()["data_type"]
+        rows = [(n, run.work_table, at(run), self.min_docs, self.fanout, self.buckets) for n, run in runs]
+        spark.createDataFrame(rows, "level int, run string, location string, min_docs int, fanout int, buckets int").coalesce(1).write.mode("overwrite").parquet(folder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineRuns:
+        """The saved store, ready for the next batch, also in another session."""
+        rows = spark.read.parquet(folder).orderBy("level", "run").collect()  # one row a run
+        out = cls(rows[0]["min_docs"], rows[0]["fanout"], rows[0]["buckets"])
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{shared_folder(spark).rstrip('/')}/{DATABASE}'")
+        for r in rows:
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {r['run']} (key BINARY, docs BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) "
+                f"INTO {r['buckets']} BUCKETS LOCATION '{r['location']}'"
+            )
+            run = spark.table(r["run"])
+            run.work_table = r["run"]
+            if r["level"] < 0:
+                out.settled.append(run)
+            else:
+                while len(out.levels) <= r["level"]:
+                    out.levels.append([])
+                out.levels[r["level"]].append(run)
+        return out
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """The sum of the runs by key: outer joins of equal buckets, which merge and shuffle nothing."""
+    out = runs[0]
     for run in runs[1:]:
-        union = union.unionByName(run)
-    return union.groupBy("key").agg(F.sum("docs").alias("docs"))
+        both = out.alias("l").join(run.alias("r").hint("merge"), F.expr("l.key = r.key"), "full")
+        out = both.select(F.coalesce("l.key", "r.key").alias("key"), (F.coalesce("l.docs", F.lit(0)) + F.coalesce("r.docs", F.lit(0))).alias("docs"))
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -110,9 +146,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
         texts.select("doc_id", F.explode(F.pandas_udf(_keys, "array<binary>")("text")).alias("key")).withColumn(
             "batch", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(batches)).cast("int")
         ),
-        "line-keys",
+        "line-keys", ("batch",),
     )
-    runs = LineRuns(min_docs, fanout)
+    buckets = min(MOST_BUCKETS, max(1, lines.count() // BUCKET_KEYS))
+    runs = LineRuns(min_docs, fanout, buckets)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("key"))
     frequent = written(runs.frequent(), "line-frequent")
