@@ -32,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": substrings.ORACLE_SQL,
         "op4_quality_rules": rules.ORACLE_SQL,
         "op6_chat_formatting": chat.ORACLE_SQL,
+        "op9_secret_scans": secrets.ORACLE_SQL,
         "op10_mixing": mixing.ORACLE_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
