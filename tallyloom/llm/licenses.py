@@ -4,58 +4,38 @@ All rolling word k-grams of all documents are hashed and joined to the k-grams o
 word ``i`` of the document and ``j`` of a template votes for the diagonal ``i - j``. Votes are counted by
 (document, template, diagonal); diagonals at most ``MERGE`` apart, whose words touch, become one span (words
 inserted or left out shift the diagonal); a span is verified when the template words it covers are enough, and
-dense enough within it. The template table is built from ``TEMPLATES`` and its rows are counted before it is
-broadcast; above ``BROADCAST_ROWS`` it is left to a shuffled join.
+dense enough within it.
+
+One pass over the texts finds the words, the places of the base phrases, and the k-grams whose bit is set in a map of
+the templates' k-grams (2 ** MAP_BITS bits, whatever their number; it lets a few others through). Only these are
+written and joined. Templates are a table ``(label, text)``; the default one is ``license_texts.TEMPLATES``.
 
 Base labels come from short phrases and always stay.
 
-Edge cases: a null or empty text has no words and no labels; rows with the same id share the labels and spans
-found in any of them; null ids count as one id; an empty table gives no rows; other columns are ignored.
+Edge cases: a null or empty text has no words and no labels; rows with the same or a null id are scanned each by
+itself; templates of under k words and null ones match nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ascii_lower, bind, table, text_of
+from tallyloom.llm.common import ascii_lower, bind, table, text_of, written
+from tallyloom.llm.license_texts import TEMPLATES
 
 #: Characters between words (after A-Z are lower-cased), phrases and their labels.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: The notices of common licenses.
-TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-)
-
 K = 4
 MERGE = 3
 LEAST_COVER = 0.6
 LEAST_WORDS = 20
 LEAST_DENSITY = 0.5
-BROADCAST_ROWS = 100_000
-
-
-def plain_words(text: str) -> list[str]:
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-    return [w for w in re.split(BETWEEN, low) if w]
+MAP_BITS = 18
 
 
 def license_words(t: Column) -> Column:
@@ -68,11 +48,29 @@ def _grams(w: Column, k: int = K) -> Column:
     return F.when(F.size(w) >= k, names).otherwise(F.array().cast("array<bigint>"))
 
 
-def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """template, label, n_template (words), gram, j: one row for each k-gram of each template."""
-    rows = [(i, label, plain_words(text)) for i, (label, text) in enumerate(templates)]
-    df = spark.createDataFrame(rows, "template int, label string, w array<string>")
-    return df.select("template", "label", F.size("w").alias("n_template"), F.posexplode(_grams(F.col("w"), k)).alias("j", "gram"))
+def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """The (label, text) pairs as the table that the scan takes."""
+    return spark.createDataFrame([tuple(t) for t in templates], "label string, text string")
+
+
+def template_grams(templates: DataFrame, k: int = K) -> DataFrame:
+    """template, label, n_template (words), gram, j: one row for each k-gram of each template, as a work table."""
+    rows = templates.select("label", license_words(text_of()).alias("w")).where("label is not null").distinct()
+    named = rows.select(F.monotonically_increasing_id().alias("template"), "label", F.size("w").alias("n_template"), _grams(F.col("w"), k).alias("g"))
+    return written(named.select("template", "label", "n_template", F.posexplode("g").alias("j", "gram")), "license-grams")
+
+
+def _map(grams: DataFrame) -> Column:
+    """The bit map of ``gram`` as a constant array of 64-bit words; its parts are joined by ``bit_or`` in Spark."""
+    bit = F.col("gram").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    set_ = grams.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    known = {r["at"]: r["bits"] for r in set_.collect()}  # 2 ** (MAP_BITS - 6) rows at most
+    return F.split(F.lit(",".join(str(known.get(i, 0)) for i in range(1 << (MAP_BITS - 6)))), ",").cast("array<bigint>")
+
+
+def _set(map_: Column, gram: Column) -> Column:
+    word = F.get(map_, F.shiftright(gram.bitwiseAND(F.lit((1 << MAP_BITS) - 1)), 6).cast("int"))
+    return F.call_function("shiftright", word, gram.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def _phrase(w: Column, number: int, parts: list[str]) -> Column:
@@ -90,47 +88,55 @@ def _places(w: Column) -> Column:
     return F.concat(*[_phrase(w, n, phrase.split(" ")) for n, (phrase, _) in enumerate(PHRASES)])
 
 
-def base_labels(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and base (places of phrases). Texts without the last word of a phrase skip the search."""
+def scanned(docs: DataFrame, grams: DataFrame, k: int = K) -> DataFrame:
+    """row, doc_id, n_words, base (places of phrases) and hits (place and gram, for the join): one pass, as a work
+    table. Texts without the last word of a phrase skip the search for phrases."""
     t = ascii_lower(text_of())
     none = F.array().cast("array<struct<at:int,label:int>>")
-    found = bind(license_words(text_of()), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.contains(t, F.lit("license")), _places(w)).otherwise(none).alias("base")))
-    return docs.select("doc_id", found.alias("f")).select("doc_id", "f.*")
+    known = _map(grams)
+
+    def found(w: Column) -> Column:
+        base = F.when(F.contains(t, F.lit("license")), _places(w)).otherwise(none)
+        at = lambda g: F.filter(F.transform(g, lambda x, i: F.when(_set(known, x), F.struct(i.alias("i"), x.alias("gram")))), lambda h: h.isNotNull())
+        return F.struct(F.size(w).cast("long").alias("n_words"), base.alias("base"), bind(_grams(w, k), at).alias("hits"))
+
+    rows = docs.select("doc_id", bind(license_words(text_of()), found).alias("f"))
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "f.*"), "license-rows")
 
 
-def template_spans(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """Verified spans: doc_id, label, first_word, last_word (exclusive), cover, density."""
-    grams = template_grams(docs.sparkSession, templates, k)
-    known = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
-    every = docs.select("doc_id", bind(license_words(text_of()), lambda w: _grams(w, k)).alias("g")).select("doc_id", F.posexplode("g").alias("i", "gram"))
-    votes = every.join(known, "gram").groupBy("doc_id", "template", "label", "n_template", (F.col("i") - F.col("j")).alias("diagonal")).agg(
-        F.min("i").alias("first"), (F.max("i") + k).alias("last"), F.min("j").alias("j_first"), (F.max("j") + k).alias("j_last"), F.collect_set("j").alias("js"),
+def template_spans(rows: DataFrame, grams: DataFrame, k: int = K) -> DataFrame:
+    """Verified spans: row, label, first_word, last_word (exclusive), covered, cover, density."""
+    every = rows.where(F.size("hits") > 0).select("row", F.inline("hits"))
+    votes = every.join(grams, "gram").groupBy("row", "template", "label", "n_template", (F.col("i") - F.col("j")).alias("diagonal")).agg(
+        F.min("i").alias("first"), (F.max("i") + k).alias("last"), F.collect_set("j").alias("js"),
     )
-    order = W.partitionBy("doc_id", "template").orderBy("diagonal", "first")
+    order = W.partitionBy("row", "template").orderBy("diagonal", "first")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(order) > MERGE) | (F.col("first") > F.lag("last").over(order) + k)
     runs = votes.withColumn("run", F.sum(F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).over(order))
-    spans = runs.groupBy("doc_id", "template", "label", "n_template", "run").agg(
+    spans = runs.groupBy("row", "template", "label", "n_template", "run").agg(
         F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("js")))).alias("js")
     )
     covered = F.aggregate(
         F.transform("js", lambda j, i: F.least(F.lit(k), F.coalesce(F.get("js", i + 1) - j, F.lit(k)))), F.lit(0), lambda a, x: a + x
     )
     spans = spans.withColumn("covered", covered).select(
-        "doc_id", "label", "first_word", "last_word", "covered", (F.col("covered") / F.col("n_template")).alias("cover"),
+        "row", "label", "first_word", "last_word", "covered", (F.col("covered") / F.col("n_template")).alias("cover"),
         F.least(F.lit(1.0), F.col("covered") / (F.col("last_word") - F.col("first_word"))).alias("density"),
     )
     enough = (F.col("cover") >= LEAST_COVER) | (F.col("covered") >= LEAST_WORDS)
     return spans.where(enough & (F.col("density") >= LEAST_DENSITY))
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, k: int = K) -> DataFrame:
     """One row for each document: doc_id, n_words, base (places), spans (verified), score."""
-    spans = template_spans(docs).groupBy("doc_id").agg(
+    grams = template_grams(template_table(docs.sparkSession) if templates is None else templates, k)
+    rows = scanned(docs, grams, k)
+    spans = template_spans(rows, grams, k).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("label", "first_word", "last_word", "cover"))).alias("spans"), F.max("cover").alias("best")
     )
-    joined = base_labels(docs).alias("b").join(spans.alias("s"), F.expr("b.doc_id <=> s.doc_id"), "left").select("b.*", "spans", "best")
+    joined = rows.select("row", "doc_id", "n_words", "base").join(spans, "row", "left")
     score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)))
-    return joined.withColumn("score", F.least(F.lit(1.0), score))
+    return joined.select("doc_id", "n_words", "base", "spans", F.least(F.lit(1.0), score).alias("score"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
