@@ -10,8 +10,9 @@ demand is ``x``. Documents come out sorted by position, by range.
 Prefix sums have two levels (buckets of the MD5 order, then within a bucket), so no task holds a source.
 
 Edge cases: a null or empty text has size 0 and is never taken (taken 0, position null); a null source is a
-source of its own, after all others; rows with the same id are separate documents; an empty table gives no
-rows; other columns are ignored.
+source of its own, after all others; rows with the same id are separate documents, in the order of a 128-bit hash
+of their texts, and null ids stand by that hash alone, so reruns agree in whatever order the rows come; rows with
+the same id, source and text are alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ MAX_REPEAT = 3
 BUCKET_ROWS = 50_000
 
 
+def text_name() -> Column:
+    """A 128-bit hash of the text, which tells rows with the same id apart."""
+    return F.md5(text_of().cast("binary"))
+
+
 def segments(schedule) -> list[tuple[float, float, float, float, float]]:
     """(start time, width, rate at start, rate at end, share of demand before) with rates of integral 1."""
     area = sum((t1 - t0) * (a + b) / 2 for (t0, a), (t1, b) in zip(schedule, schedule[1:]))
@@ -82,11 +88,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, positions (of the copies taken)."""
+    """One row for each document: doc_id, name (of the text), source, size, source_size, target, positions (of the
+    copies taken)."""
     sized = written(
         docs.select(
-            F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+            F.col("doc_id"), text_name().alias("name"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), text_of()).cast("binary")).alias("key"),
         ),
         "mix-sizes",
     )
@@ -97,11 +104,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int
     start = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     targets = source_targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeat)
     offsets = per_bucket.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(start), F.lit(0))).drop("bucket_size")
-    inner = W.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "name").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("d")
     known = offsets.alias("o").join(targets.alias("t"), F.expr("o.source <=> t.source")).select("o.source", "bucket", "bucket_start", "source_size", "slot", "target")
     placed = placed.join(known.alias("k"), F.expr("d.source <=> k.source and d.bucket = k.bucket")).select(
-        "doc_id", "d.source", "size", "source_size", "slot", "target", (F.col("bucket_start") + F.col("inner")).alias("at")
+        "doc_id", "name", "d.source", "size", "source_size", "slot", "target", (F.col("bucket_start") + F.col("inner")).alias("at")
     )
 
     def position(start: Column) -> Column:
@@ -116,7 +123,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int
         lambda x: (F.col("size") > 0) & (2 * x + F.col("size") <= 2 * F.col("target")),
     )
     placed = placed.withColumn("starts", starts)
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.transform("starts", position).alias("positions"))
+    return placed.select("doc_id", "name", "source", "size", "source_size", "target", F.transform("starts", position).alias("positions"))
 
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -128,13 +135,19 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat
 def training_order(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The documents as they are trained on: one row for each copy taken, range-sorted by position.
 
-    Columns doc_id, text, lang, source, n_chars, copy (from 0), position. Rows with the same id are each
-    trained on as often as the first of them.
+    Columns doc_id, text, lang, source, n_chars, copy (from 0), position. Rows alike in id, source and text are each
+    one of the planned rows, so their copies are those of the plan in any order.
     """
-    copies = plan(docs, weights, schedules, max_repeat).groupBy("doc_id").agg(F.min("positions").alias("positions"))
     columns = ("doc_id", "text", "lang", "source", "n_chars")
-    joined = docs.select(*columns).alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id")).select(*[f"d.{c}" for c in columns], F.posexplode("positions").alias("copy", "position"))
-    return joined.orderBy("position", "doc_id", "copy")
+    key = ("doc_id", "source", "name")
+    alike = plan(docs, weights, schedules, max_repeat).groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.count(F.lit(1)).alias("rows"))
+    rows = docs.select(*columns, text_name().alias("name"))
+    same = F.expr("d.doc_id <=> c.doc_id and d.name = c.name and cast(d.source as string) <=> c.source")
+    single = rows.alias("d").join(alike.where("rows = 1").alias("c"), same).select(*[f"d.{c}" for c in columns], "positions")
+    first = lambda c: F.min(F.struct(*[x for x in columns if x not in ("doc_id", "source")])).alias(c)
+    many = rows.join(alike.where("rows > 1").select(*[F.col(c).alias(f"_{c}") for c in key], "positions"), F.expr("doc_id <=> _doc_id and name = _name and cast(source as string) <=> _source"))
+    many = many.groupBy("doc_id", "source", "name").agg(first("r"), F.first("positions").alias("positions")).select("doc_id", "r.text", "r.lang", "source", "r.n_chars", "positions")
+    return single.unionByName(many).select(*columns, F.posexplode("positions").alias("copy", "position")).orderBy("position", "doc_id", "copy")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
