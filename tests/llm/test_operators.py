@@ -69,6 +69,25 @@ def test_line_dedup(docs, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_runs_merge_and_open_again(spark, tmp_path):
+    """Batches added to a store that is saved and opened between them; joins of runs shuffle nothing."""
+    rng = np.random.default_rng(12)
+    batches = [[bytes([int(x)]) for x in rng.integers(0, 60, 80)] for _ in range(7)]
+    total = Counter(k for b in batches for k in b)
+    runs = linededup.LineRuns(min_docs=9, fanout=2, buckets=3)
+    for n, b in enumerate(batches):
+        runs.add(spark.createDataFrame([(k,) for k in b], "key binary"))
+        runs.save(spark, f"{tmp_path}/{n}")
+        runs = linededup.LineRuns.open(spark, f"{tmp_path}/{n}")
+        seen = Counter(k for x in batches[: n + 1] for k in x)
+        assert sorted(bytes(r.key) for r in runs.frequent().collect()) == sorted(k for k, c in seen.items() if c >= 9)
+    assert len(runs.settled) > 1 and len(runs.levels) > 2 and max(total.values()) >= 9
+    first, second = runs.settled[:2]
+    join = first.join(second.select("key").hint("merge"), "key", "left_anti")
+    with_merge = join._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in with_merge and "Exchange" not in with_merge
+
+
 def test_substring_dedup(docs, none):
     order = lambda d: 2**63 - 1 if d is None else d
     least, split = {}, [(d, WORD.findall(t)) for d, t in texts()]
@@ -226,13 +245,63 @@ def test_similar_documents_with_passages_replaced_or_added():
     print("met", met, "close", close)
 
 
+def plain_words(text):
+    return [w for w in re.split(licenses.BETWEEN, text.translate(FOLD)) if w]
+
+
+def spans_by_diagonal(w, label, template, k=licenses.K):
+    """Votes, merged diagonals and verified spans of one text and one template, by loops."""
+    votes = defaultdict(list)
+    for i in range(len(w) - k + 1):
+        for j in range(len(template) - k + 1):
+            if w[i : i + k] == template[j : j + k]:
+                votes[i - j].append((i, j))
+    runs, last = [], None
+    for d, first in sorted((d, min(i for i, _ in v)) for d, v in votes.items()):
+        end = max(i for i, _ in votes[d]) + k
+        if last is None or d - last[0] > licenses.MERGE or first > last[1] + k:
+            runs.append([])
+        runs[-1].append(d)
+        last = (d, end)
+    out = []
+    for run in runs:
+        hits = [h for d in run for h in votes[d]]
+        first, end = min(i for i, _ in hits), max(i for i, _ in hits) + k
+        covered = len({j + x for _, j in hits for x in range(k)})
+        if (covered / len(template) >= licenses.LEAST_COVER or covered >= licenses.LEAST_WORDS) and covered / (end - first) >= licenses.LEAST_DENSITY:
+            out.append((label, first, end, round(covered / len(template), 9)))
+    return out
+
+
+def test_license_spans_of_altered_copies_against_loops(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for n, (_, text) in enumerate(licenses.TEMPLATES * 3):
+        w = text.split()
+        for at in sorted(rng.choice(len(w), min(len(w) - 1, n % 5), replace=False), reverse=True):
+            w[at : at + 1] = [["changed"], [], [w[at], "extra"]][int(rng.integers(3))]
+        texts.append(" ".join(["lead"] * int(rng.integers(0, 9)) + w + ["tail"] * int(rng.integers(0, 9))))
+    texts += ["permission is hereby granted free of nothing", " ".join(t for _, t in licenses.TEMPLATES), "word " * 3000, None]
+    rows = [(i // 2 if i % 5 else None, t) for i, t in enumerate(texts)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    templates = [(label, plain_words(t)) for label, t in licenses.TEMPLATES]
+    want = [(d, len(plain_words(t or "")), sorted(x for label, w in templates for x in spans_by_diagonal(plain_words(t or ""), label, w))) for d, t in rows]
+    flat = lambda rows_: Counter((d, n, tuple(s)) for d, n, s in rows_)
+    assert flat((r.doc_id, r.n_words, sorted((s.label, s.first_word, s.last_word, round(s.cover, 9)) for s in r.spans or [])) for r in got) == flat(want)
+    long = [bool(s) for (_, _, s), (_, w) in zip(want, templates * 3) if len(w) >= 20]  # a notice of 5 words with 4 edits is none
+    assert sum(long) >= 0.95 * len(long)
+    own = spark.createDataFrame([("mine", "one two three four five six"), (None, "a b c d e"), ("short", "a b")], "label string, text string")
+    mine = licenses.scan_licenses(spark.createDataFrame([(1, "x One two, three four five six")], "doc_id long, text string"), own).first()
+    assert [(s.label, s.first_word, s.last_word) for s in mine.spans] == [("mine", 1, 7)]
+
+
 def test_licenses(docs, none, spark):
     found = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(docs).collect()}
     for d, t in texts():
-        w = licenses.plain_words(t)
+        w = plain_words(t)
         places = sorted((i, n) for n, (p, _) in enumerate(licenses.PHRASES) for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
         assert sorted((p.at, p.label) for p in found[(d, len(w))].base) == places
-    text = "intro words here " + licenses.TEMPLATES[2][1].replace("compliance", "accordance") + " and more"
+    text = "intro words here " + dict(reversed(licenses.TEMPLATES))["apache"].replace("compliance", "accordance") + " and more"
     one = licenses.scan_licenses(spark.createDataFrame([(1, text), (2, "plain text only")], "doc_id long, text string")).collect()
     assert {r.doc_id: [s.label for s in r.spans or []] for r in one}[1].count("apache") >= 1
     assert not {r.doc_id: r.spans for r in one}[2]
@@ -264,11 +333,50 @@ def test_secrets(docs, none, spark):
         for r in rows:
             windows = [r.s[i : i + secrets.WINDOW] for i in range(len(r.s) - secrets.WINDOW + 1)]
             assert r.e == pytest.approx(max((entropy(x) for x in windows if set(x) <= set(alphabet)), default=0.0), abs=1e-9), (name, r.s)
+    many = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secrets.window_entropies(F.col("s"), [a for _, a, _ in secrets.CLASSES]).alias("e")).collect()
+    for r in many:
+        for (_, alphabet, _), e in zip(secrets.CLASSES, r.e):
+            windows = [r.s[i : i + secrets.WINDOW] for i in range(len(r.s) - secrets.WINDOW + 1)]
+            assert e == pytest.approx(max((entropy(x) for x in windows if set(x) <= set(alphabet)), default=0.0), abs=1e-9)
     kinds = [s.kind for r in got if r.doc_id is not None and any("zX9f" in t for d, t in texts() if d == r.doc_id) for s in r.spans]
     assert 3 in kinds
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_in_very_long_candidates(spark):
+    """Slugs, base64 and lists of a million characters end without a deep stack, and plain paths stay allowed."""
+    rng = np.random.default_rng(2)
+    alphabet = list(secrets.CLASSES[2][1])
+    random_text = "".join(rng.choice(alphabet, 300_000))
+    cases = {
+        1: "-".join(["ab", "Cd"] * 200_000), 2: random_text, 3: "some/path-of_plain=words/And/Capitals", 4: "aB" * 500_000, 5: "a" * 1_000_000,
+        6: "secret=" + "x" * 1_000_000, 7: "token=abcdef1 " * 30_000, 8: "-leading-and-plain-words-here", 9: "one--two-three-four-five-six", 10: "word-word-A-word-word-word",
+    }
+    frame = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, secrets.KINDS[s.kind], s.end) for s in r.spans] for r in secrets.find_secrets(frame).collect()}
+    assert found[1] == [] and found[3] == [] and found[4] == [] and found[5] == [(0, "hex", 1_000_000)]
+    assert found[2] == [(0, "entropy", 300_000)] and found[6] == [(0, "assign", 1_000_007)]
+    assert found[7] == [(14 * i, "assign", 14 * i + 13) for i in range(30_000)]
+    plain = re.compile(r"[A-Za-z]?[a-z]+([-_/=+][A-Za-z]?[a-z]+)*")
+    strings = [*cases.values(), *("".join(rng.choice(list("abAB-_/=+1"), 20, p=[0.3, 0.3, 0.05, 0.05, 0.1, 0.04, 0.04, 0.04, 0.04, 0.04])) for _ in range(500))]
+    strings = [x for x in strings if len(x) < 100 and " " not in x]
+    rows = spark.createDataFrame([(x,) for x in strings], "s string").select("s", F.rlike("s", F.lit(secrets.NOT_PLAIN)).alias("bad")).collect()
+    assert all(r.bad == (not plain.fullmatch(r.s)) for r in rows) and any(not r.bad for r in rows)
+
+
+def test_mixing_is_the_same_for_any_order_of_rows(spark):
+    rows = [(i % 3 if i % 4 else None, f"t{i % 7} " * (1 + i % 5), "en", "ab"[i % 2], i % 2) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    seen = []
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: (r[1], str(r[0])))):
+        frame = spark.createDataFrame(order, schema).repartition(5)
+        plan = mixing.plan(frame).select("doc_id", "name", "source", "size", "target", "positions").collect()
+        train = mixing.training_order(frame).select("doc_id", "text", "source", "position").collect()
+        seen.append((sorted(map(str, plan)), sorted(map(str, train))))
+        assert len(train) == sum(len(r.positions) for r in plan)
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_mixing(docs, none):
     out = mixing.curriculum(docs).collect()
     sizes = defaultdict(int)
@@ -387,13 +495,48 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.find_leaks(none, bench).count() == 0
 
 
-def test_decontamination_in_chunks(spark, monkeypatch):
-    items = [" ".join(f"c{i}x{k}" for k in range(30)) for i in range(8)]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    docs = spark.createDataFrame([(i, "a b c " + t) for i, t in enumerate(items)] + [(99, "clean text")], "doc_id long, text string")
-    monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 70)
-    found = {r.doc_id: [m.item_id for m in r.matches] for r in decontaminate.find_leaks(docs, bench).collect()}
-    assert found == {**{i: [i] for i in range(8)}, 99: []}
+def test_decontamination_against_every_alignment(spark):
+    """Every piece of every item aligned with every document: the seeds must find at least 0.9 of what scores 0.5."""
+    rng = np.random.default_rng(21)
+    vocab = [f"g{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab, n))) for i, n in enumerate([15] * 6 + [25] * 6 + [50] * 4 + [400])]
+    items += [(3, " ".join(rng.choice(vocab, 20))), (None, " ".join(rng.choice(vocab, 20)))]
+    rows = []
+    for _, t in items * 3:
+        w = t.split()
+        at = int(rng.integers(0, max(1, len(w) - 190)))
+        w = w[at : at + 190]
+        for k in rng.choice(len(w), int(rng.integers(0, len(w) // 4 + 1)), replace=False):
+            w[k] = "zz" if rng.random() < 0.5 else w[k] + " zz"
+        rows.append((len(rows), " ".join([*rng.choice(vocab, 40), *w, *rng.choice(vocab, 30)])))
+    rows += [(0, rows[1][1]), (0, "plain words only"), (None, rows[2][1]), (900, " ".join(rng.choice(vocab, 20_000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    number = {w: k for k, w in enumerate(sorted({w for _, t in rows + items for w in t.split()}))}
+    coded = lambda words: np.array([number[x] for x in words], dtype=np.uint64)
+    want = Counter()
+    for d, t in rows:
+        w = t.split()
+        for i, text in items:
+            x = text.split()
+            starts = range(0, len(x) - 63, 32) if len(x) > 64 else [0]
+            cuts = [x[s : s + 64] for s in starts] + ([x[-64:]] if len(x) > 64 else [])
+            if max(decontaminate.align(coded(w), coded(c))[0] / (2 * len(c)) for c in cuts) >= decontaminate.LEAST:
+                want[d, i] += 1
+    for bits in (decontaminate.MAP_BITS, 8):  # a map of 256 bits lets nearly every n-gram through to the join
+        got = Counter()
+        out = decontaminate.find_leaks(frame, bench, bits).collect()
+        for r in out:
+            got.update({(r.doc_id, m.item_id): 1 for m in r.matches if m.score >= decontaminate.LEAST})
+        assert sorted(str(r.doc_id) for r in out) == sorted(str(d) for d, _ in rows)
+        assert not got - want
+        recall = sum((got & want).values()) / sum(want.values())
+        print("recall", recall, "of", sum(want.values()))
+        assert recall >= 0.9
+    long = items[16][1].split()
+    half = spark.createDataFrame([(1, "a b c " + " ".join(long[100:290]) + " d e"), (1, "nothing")], "doc_id long, text string")
+    m = max((r.matches for r in decontaminate.find_leaks(half, bench).collect()), key=len)[0]
+    assert (m.item_id, m.score) == (16, 1.0) and 3 <= m.start < m.end <= 193 and m.end - m.start == 64
 
 
 def test_chat(spark):
