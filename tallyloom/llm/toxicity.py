@@ -7,9 +7,10 @@ A term weighs ``(1 + ln count) * idf * rf``: IDF counts all documents of the tab
 out; ``relevance=False`` sets rf to 1.
 
 Scoring: the index is inverted. A term's postings stand in order of the examples, cut into blocks of ``BLOCK``
-examples, and each (term, block) keeps its largest weight. The bound of a block is the sum over the query's terms of
-query weight times that maximum; blocks are scored in order of their bounds, in growing batches, until the next bound
-can't reach the k-th best, so the k nearest are exact. Votes are weighted by cosine and by the class's share of all
+examples, and each (term, block) keeps its largest weight; a term of more than 1 in ``FREQUENT`` examples has its
+postings as one row of weights instead. The bound of a block is what the frequent terms give there at most, plus the
+sum over the other terms of query weight times the term's maximum; blocks are scored in order of their bounds, in
+growing batches, until the next bound can't reach the k-th best, so the k nearest are exact. Votes are weighted by cosine and by the class's share of all
 labels, shrunk to the prior, and mapped to a probability by isotonic regression over the examples' own leave-one-out
 votes. The nearest examples and their cosines are the evidence.
 
@@ -36,7 +37,8 @@ from tallyloom.llm.common import modest_batches, table, text_of
 #: Bounds of the labelled sample: rows, and characters of one text.
 EXAMPLES, LONGEST = 4000, 200_000
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK = 256
+FREQUENT = 8
 SHRINK = 0.5
 FOLDS = 5
 EVIDENCE = 3
@@ -62,8 +64,8 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Index:
     """Examples (ids, labels, class weights), terms with their factor (idf * rf), and the inverted index: the
-    postings (example, weight) of term t are ``at[t]:at[t + 1]``; its blocks (number, largest weight, and where
-    their postings begin and end) are ``block_at[t]:block_at[t + 1]``."""
+    blocks (number, largest weight, and where their postings (example, weight) begin and end) of term t are
+    ``block_at[t]:block_at[t + 1]``; ``row[t]`` is the row of a frequent term in ``rows``, else -1."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -77,6 +79,8 @@ class Index:
     top: np.ndarray
     begin: np.ndarray
     end: np.ndarray
+    row: np.ndarray
+    rows: np.ndarray
     prior: float
     silent: float
     steps: np.ndarray
@@ -84,11 +88,10 @@ class Index:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text, rising, and how often it has each."""
-        found = Counter(map(self.terms.get, tokens(text)))
-        found.pop(None, None)
-        places = np.fromiter(found, np.int64, len(found))
-        order = np.argsort(places)
-        return places[order], np.fromiter(found.values(), np.int64, len(found))[order]
+        get = self.terms.get
+        found = np.array([(p, n) for w, n in Counter(tokens(text)).items() if (p := get(w)) is not None], dtype=np.int64).reshape(-1, 2)
+        found = found[np.argsort(found[:, 0])]
+        return found[:, 0], found[:, 1]
 
     def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.factor[places]
@@ -97,20 +100,30 @@ class Index:
 
     def nearest(self, places: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact k nearest examples with a cosine above 0 (ties: the earlier example), and their cosines."""
-        first, last = self.block_at[places], self.block_at[places + 1]
-        entries, mine = _ranges(first, last), np.repeat(q, last - first)
+        row = self.row[places]
+        seldom = row < 0
+        base = q[~seldom] @ self.rows[row[~seldom]]
+        if skip >= 0:
+            base[skip] = 0.0
+        first, last = self.block_at[places[seldom]], self.block_at[places[seldom] + 1]
+        entries, mine = _ranges(first, last), np.repeat(q[seldom], last - first)
         blocks = self.block[entries]
-        bounds = np.bincount(blocks, self.top[entries] * mine, minlength=-(-len(self.ids) // BLOCK))
+        least = base.reshape(-1, BLOCK)
+        bounds = least.max(axis=1) + np.bincount(blocks, self.top[entries] * mine, minlength=len(least))
         order = np.argsort(-bounds, kind="stable")
-        scores, kth, done, step = np.zeros(len(self.ids)), 0.0, 0, 2
+        scores, kth, done, step = np.zeros(len(base)), 0.0, 0, 4
         while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= kth - 1e-9:
+            # Blocks that can't reach the k-th best any more needn't be scored with the batch.
+            batch = order[done : done + step]
+            batch = batch[bounds[batch] >= kth - 1e-9]
             chosen = np.zeros(len(bounds), bool)
-            chosen[order[done : done + step]] = True
-            rows = np.nonzero(chosen[blocks])[0]
-            begin, end = self.begin[entries[rows]], self.end[entries[rows]]
+            chosen[batch] = True
+            part = np.nonzero(chosen[blocks])[0]
+            begin, end = self.begin[entries[part]], self.end[entries[part]]
             posts = _ranges(begin, end)
-            scores += np.bincount(self.example[posts], self.weight[posts] * np.repeat(mine[rows], end - begin), minlength=len(scores))
-            done, step = done + step, 2 * step
+            scores += np.bincount(self.example[posts], self.weight[posts] * np.repeat(mine[part], end - begin), minlength=len(scores))
+            scores.reshape(-1, BLOCK)[batch] += least[batch]
+            done, step = done + step, 16 * step
             if skip >= 0:
                 scores[skip] = 0.0
             kth = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
@@ -208,6 +221,14 @@ def build(ids: np.ndarray, labels: np.ndarray, counts: list[dict[int, int]], siz
         factor *= np.log2(2 + toxic / np.maximum(1, np.bincount(term, minlength=len(names)) - toxic))
     weight = (1 + np.log(often)) * factor[term]
     weight /= np.sqrt(np.bincount(owner, weight * weight, minlength=len(ids)))[owner]
+    blocks = -(-len(ids) // BLOCK)
+    row = np.full(len(names), -1)
+    frequent = np.nonzero(np.bincount(term, minlength=len(names)) * FREQUENT > len(ids))[0]
+    row[frequent] = np.arange(len(frequent))
+    rows = np.zeros((len(frequent), blocks * BLOCK))
+    often_ = row[term] >= 0
+    rows[row[term[often_]], owner[often_]] = weight[often_]
+    owner, term, weight = owner[~often_], term[~often_], weight[~often_]
     order = np.lexsort((owner, term))
     owner, term, weight = owner[order], term[order], weight[order]
     block = owner // BLOCK
@@ -221,7 +242,7 @@ def build(ids: np.ndarray, labels: np.ndarray, counts: list[dict[int, int]], siz
     silent = float((weights * labels)[quiet].sum() / weights[quiet].sum()) if quiet.any() else prior
     index = Index(
         ids, labels, weights, names, factor, owner.astype(np.int32), weight, np.searchsorted(term[begin], np.arange(len(names) + 1)), block[begin],
-        np.maximum.reduceat(weight, begin) if len(begin) else weight, begin, np.append(begin[1:], len(term)), prior, silent, np.empty(0), np.empty(0),
+        np.maximum.reduceat(weight, begin) if len(begin) else weight, begin, np.append(begin[1:], len(term)), row, rows, prior, silent, np.empty(0), np.empty(0),
     )
     votes = []
     for e, c in enumerate(counts):
