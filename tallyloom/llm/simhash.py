@@ -123,8 +123,6 @@ SIMILAR_WIDTH, LEAST = 5, 0.8
 BANDS, MINIMA, VERIFY_WORDS = 40, 8, 24
 #: Members on each side of a tile of comparisons.
 TILE = 256
-#: Bits of the first verifying word that may differ before the others are read.
-FIRST_BITS = 18
 
 
 def allowed_bits(similarity: float, bits: int) -> int:
@@ -256,19 +254,18 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3, t
     made = rows.select("doc_id", "name", F.pandas_udf(_wide, "blocks array<long>, fp array<long>")("names").alias("f"))
     prints = written(made.where("doc_id is not null").select("doc_id", "name", "f.blocks", "f.fp"), "wide-prints")
     classes = written(prints.groupBy("name").agg(F.min_by(F.struct("doc_id", "blocks", "fp"), "doc_id").alias("r")).select("name", F.col("r.doc_id").alias("id"), "r.blocks", "r.fp"), "wide-classes")
-    keyed = written(classes.select("id", F.get("fp", 0).alias("first"), F.posexplode("blocks").alias("n", "bits")), "wide-blocks")
+    keyed = written(classes.select("id", F.posexplode("blocks").alias("n", "bits")), "wide-blocks")
     sizes = keyed.groupBy("n", "bits").agg(
-        F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(F.min(F.struct("id", "first")), F.max(F.struct("id", "first")), F.min_by(F.struct("id", "first"), F.xxhash64("id")))).alias("leaders")
+        F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id")))).alias("leaders")
     ).where("size > 1")
     crowded = F.col("size") > bucket
     first_of = F.when(crowded, F.slice("leaders", 1, leaders)).otherwise(F.slice("leaders", 1, 1))
     stars = keyed.join(sizes.select("n", "bits", first_of.alias("leaders")), ["n", "bits"])
-    stars = stars.select(F.struct("id", "first").alias("b"), F.explode("leaders").alias("a")).where("a.id <> b.id")
+    stars = stars.select(F.col("id").alias("b"), F.explode("leaders").alias("a")).where("a <> b")
     side = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}"))
 
     def verified(near: DataFrame) -> DataFrame:
-        near = near.where(F.bit_count(F.col("a.first").bitwiseXOR(F.col("b.first"))) <= FIRST_BITS)
-        pairs = near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return pairs.join(side("a"), "a").join(side("b"), "b").where(distance <= allowed_bits(LEAST, 64 * VERIFY_WORDS)).select("a", "b")
 
