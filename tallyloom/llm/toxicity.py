@@ -197,24 +197,26 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance:
     """The index over the labelled sample; None without labelled rows."""
     modest_batches(docs.sparkSession)
     sample, sizes = _sample(docs, labels, examples)
-    rows = sample.toPandas().sort_values(["toxic", "doc_id"])  # a class's examples share blocks
-    if rows.empty:
-        return None
     names: dict[str, int] = {}
-    found = [Counter(tokens(t)) for t in rows["text"]]
-    for words in found:
-        for word in words:
-            names.setdefault(word, len(names))
+    ids, labels_, counts = [], [], []
+    for row in sample.orderBy("toxic", "doc_id").toLocalIterator():  # a class's examples share blocks
+        words = Counter(tokens(row["text"]))
+        places = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int32, len(words))
+        often = np.fromiter(words.values(), np.int32, len(words))
+        order = np.argsort(places)
+        ids.append(row["doc_id"])
+        labels_.append(row["toxic"])
+        counts.append((places[order], often[order]))
+    if not ids:
+        return None
     df, total = document_counts(docs, names)
-    ids, labels_ = rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64)
-    return build(ids, labels_, [({names[w]: n for w, n in words.items()}) for words in found], sizes, names, df, total, relevance)
+    return build(np.array(ids, np.int64), np.array(labels_, np.int64), counts, sizes, names, df, total, relevance)
 
 
-def build(ids: np.ndarray, labels: np.ndarray, counts: list[dict[int, int]], sizes: dict[int, int], names: dict[str, int], df: np.ndarray, total: int, relevance: bool) -> Index:
-    """The index of examples with these term counts; ``sizes`` counts all labels by class."""
-    owner = np.repeat(np.arange(len(ids)), [len(c) for c in counts])
-    term = np.concatenate([np.fromiter(c, np.int64, len(c)) for c in counts])
-    often = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in counts])
+def build(ids: np.ndarray, labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], sizes: dict[int, int], names: dict[str, int], df: np.ndarray, total: int, relevance: bool) -> Index:
+    """The index of examples with these terms (rising) and their counts; ``sizes`` counts all labels by class."""
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(p) for p, _ in counts])
+    term, often = (np.concatenate([c[k] for c in counts]) for k in (0, 1))
     factor = np.log((1 + total) / (1 + df)) + 1
     if relevance:
         toxic = np.bincount(term, labels[owner], minlength=len(names))
@@ -238,17 +240,16 @@ def build(ids: np.ndarray, labels: np.ndarray, counts: list[dict[int, int]], siz
     share = np.array([sizes.get(c, 0) / max(1, int((labels == c).sum())) for c in (0, 1)])
     weights = share[labels]
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    quiet = np.array([len(c) == 0 for c in counts])
+    quiet = np.array([len(p) == 0 for p, _ in counts])
     silent = float((weights * labels)[quiet].sum() / weights[quiet].sum()) if quiet.any() else prior
     index = Index(
         ids, labels, weights, names, factor, owner.astype(np.int32), weight, np.searchsorted(term[begin], np.arange(len(names) + 1)), block[begin],
         np.maximum.reduceat(weight, begin) if len(begin) else weight, begin, np.append(begin[1:], len(term)), row, rows, prior, silent, np.empty(0), np.empty(0),
     )
     votes = []
-    for e, c in enumerate(counts):
-        p = np.array(sorted(c), dtype=np.int64)
+    for e, (p, n) in enumerate(counts):
         if len(p):
-            votes.append((e, index.vote(*index.nearest(p, index.vector(p, np.array([c[x] for x in p])), skip=e))))
+            votes.append((e, index.vote(*index.nearest(p, index.vector(p, n), skip=e))))
     if not votes:
         return index
     e, x = np.array([v[0] for v in votes]), np.array([v[1] for v in votes])
