@@ -90,6 +90,11 @@ def seed_from_string(text: str) -> int:
 
 
 def seed_of(text: Column) -> Column:
-    """``seed_from_string`` of an ASCII column."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """``seed_from_string`` of a column."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), 1)
+    codes = F.transform(units, lambda c: F.conv(c, 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: imul(h.bitwiseXOR(c), F.lit(16777619).cast("long")))
+
+
+def base36(n: Column) -> Column:
+    return F.lower(F.conv(n.cast("string"), 10, 36))

@@ -41,28 +41,20 @@ def table_polls(
     """
     found = textops.cells(pages, id_, html, table=POLL_TABLE).checkpoint()
     at = [id_, "table"]
-    heads = textops.header_rows(found, id_).join(found, [*at, "row"])
-    heads = heads.withColumn("_head", F.concat_ws(" ", "text", "attributes"))
-    mapped = heads.join(map_header_cells(heads, needles, aliases, "_head"), "_head", "left")
+    heads = textops.header_rows(found, id_).join(found, [*at, "row"]).withColumn("_head", F.concat_ws(" ", "text", "attributes"))
+    mapped = heads.join(map_header_cells(heads, needles, aliases, "_head"), "_head", "left").select(*at, "row", "col", "party_id")
     counted = mapped.groupBy(*at, "row").agg(F.count("party_id").alias("_c"), F.max("col").alias("_last"))
     best = counted.groupBy(*at).agg(F.max_by(F.struct("row", "_c", "_last"), F.struct("_c", -F.col("row"))).alias("b")).where(F.col("b._c") >= least)
-    columns = mapped.join(best.select(*at, F.col("b.row").alias("row"), (F.col("b._last") - 1).alias("_least")), [*at, "row"]).where("party_id is not null")
-    columns = columns.select(*at, "col", "party_id", "_least")
-    rows = found.where("row > 0").join(columns, [*at, "col"], "left")
-    n = F.try_to_number(F.nullif(F.regexp_replace("text", r"[^0-9.]", ""), F.lit("")), F.lit("999999999.999")).cast("double")
-    n = F.when(n.between(4, 120), F.floor(n + 0.5).cast("int"))
-    lead = F.col("col") < 4
-    rows = rows.withColumn("_n", F.when(F.col("party_id").isNotNull(), n)).groupBy(*at, "row").agg(
-        F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("col", "party_id", "_n")))), lambda x: F.struct(x["party_id"], x["_n"]))).alias("seats")
-        if False
-        else F.array_sort(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("col", "party_id", "_n")))).alias("_seats"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(lead, F.struct("col", "text")))), lambda x: x["text"]), " | ").alias("lead"),
-        F.transform(F.array_sort(F.collect_list(F.when(lead, F.struct("col", "text")))), lambda x: x["text"]).alias("_cells"),
-        (F.max("col") + 1).alias("_width"), F.max("_least").alias("_least"),
+    best = best.select(*at, F.col("b.row").alias("row"), (F.col("b._last") - 1).alias("_need"))
+    columns = mapped.join(best, [*at, "row"]).where("party_id is not null").select(*at, "col", "party_id")
+    n = F.regexp_replace("text", "[^0-9.]", "").try_cast("double")
+    seat = F.when(F.col("party_id").isNotNull() & n.between(4, 120), F.struct("col", "party_id", F.floor(n + 0.5).cast("int").alias("n")))
+    rows = found.where("row > 0").join(columns, [*at, "col"], "left").groupBy(*at, "row").agg(
+        F.array_sort(F.collect_list(seat)).alias("_seats"), F.array_sort(F.collect_list(F.when(F.col("col") < 4, F.struct("col", "text")))).alias("_lead"), F.max("col").alias("_max")
     )
-    final = F.filter("_seats", lambda x, i: ~F.exists(F.slice("_seats", i + 2, F.size("_seats")), lambda y: y["party_id"] == x["party_id"]))
-    rows = rows.join(best.select(*at, (F.col("b._last") - 1).alias("_need")), at).where(F.col("_width") >= F.col("_need"))
-    rows = rows.withColumn("seats", F.map_from_entries(F.transform(final, lambda x: F.struct(x["party_id"], x["_n"]))))
+    rows = rows.join(best.drop("row"), at).where(F.col("_max") + 1 >= F.col("_need")).withColumn("_cells", F.col("_lead.text"))
+    last = F.filter("_seats", lambda x, i: ~F.exists(F.slice("_seats", i + 2, F.size("_seats")), lambda y: y["party_id"] == x["party_id"]))
+    rows = rows.withColumn("seats", F.map_from_entries(F.transform(last, lambda x: F.struct(x["party_id"], x["n"])))).withColumn("lead", F.array_join("_cells", " | "))
     total = F.aggregate(F.map_values("seats"), F.lit(0), lambda a, x: a + x)
     rows = rows.withColumn("total", total).withColumn("date", textops.iso_date(F.col("lead")))
     rows = rows.where((F.size("seats") >= least) & (F.col("total") <= house) & F.col("date").isNotNull())
@@ -76,7 +68,7 @@ def table_polls(
 
 def _first_named(cells: str, names: list[tuple[str, str]]) -> Column:
     """The label of the first name found in the first cell that has one."""
-    label = lambda c: F.coalesce(*[F.when(F.contains(F.lower(c), F.lit(n.lower())), F.lit(v)) for n, v in names])
+    label = lambda c: F.coalesce(F.lit(None).cast("string"), *[F.when(F.contains(F.lower(c), F.lit(n.lower())), F.lit(v)) for n, v in names])
     return F.get(F.filter(F.transform(cells, label), lambda x: x.isNotNull()), 0)
 
 
@@ -102,8 +94,10 @@ def news_polls(
     """The polls of the articles that section pages link to. ``sections``: ``source``, url, html, place. Links whose
     address fits and whose text, if any, has a poll word are candidates, each once, in order; the first ``most`` of a
     source that robots.txt allows are fetched (``fetch``: (source, url) -> with html) and read."""
-    found = textops.links(sections, keep=[source, F.col("place").alias("_page")])
-    listed = textops.candidates(found, F.lit(pattern), POLL_WORDS, [source])
-    first = F.row_number().over(W.partitionBy(source).orderBy("_page", "place"))
-    chosen = textops.allowed(listed.withColumn("_rank", first).where(F.col("_rank") <= most).select(source, F.col("href").alias("url")), robots)
+    found = textops.links(sections, keep=(source, F.col("place").alias("_page")))
+    fits = F.rlike("href", F.lit(pattern)) & ((F.col("text") == "") | F.rlike("text", F.lit(POLL_WORDS)))
+    listed = found.where(fits).groupBy(source, "href").agg(F.min(F.struct("_page", "place")).alias("_at"))
+    first = F.row_number().over(W.partitionBy(source).orderBy("_at", "href"))
+    chosen = listed.withColumn("_rank", first).where(F.col("_rank") <= most).select(source, F.col("href").alias("url"))
+    chosen = textops.allowed(chosen, robots)
     return article_polls(fetch(chosen).where("html is not null"), aliases, rules, today, least=least, keep=(source,))

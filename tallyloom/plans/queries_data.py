@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import montecarlo, quality, report, textops
+from tallyloom.operators import mentions as named
+from tallyloom.operators import montecarlo, pollpages, quality, report, textops
 from tallyloom.plans import queries_model as model
 from tallyloom.plans import views
 from tallyloom.plans.queries_model import query
@@ -247,10 +248,32 @@ ALIASES = [("from the", "from"), ("the", "the"), ("ed", "ed"), ("that", "that"),
 
 @query("mentions")
 def mentions(spark, sf):
-    found = textops.mentions(table(spark, sf, "documents").select("doc_id", "text"), "text", ALIASES)
+    found = named.mentions(table(spark, sf, "documents").select("doc_id", "text"), "text", ALIASES)
     return found.select("doc_id", F.inline("mentions"))
 
 
+FIRMS = (("urgent", "Urgent"), ("high", "High"), ("medium", "Medium"), ("low", "Low"))
+COLUMNS = (("likud", "a"), ("yashar", "b"), ("together", "c"), ("democrats", "d"), ("shas", "e"))
+PRINTED = [f"o_orderkey * {2 * k + 3} % 29" for k in range(5)]
+
+
+@query("table_polls", f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS row FROM orders),
+p AS (SELECT *, CASE {" ".join(f"WHEN contains(lower(o_orderpriority), '{a}') THEN '{b}'" for a, b in FIRMS)} ELSE 'unknown' END AS pollster, {", ".join(f"({x})::INT AS {c}" for x, (_, c) in zip(PRINTED, COLUMNS))} FROM o)
+SELECT o_custkey::VARCHAR AS source, row, 'table-' || strftime(o_orderdate, '%Y-%m-%d') || '-' || pollster AS id, o_orderdate::DATE AS date, pollster, (300 + o_orderkey % 1500)::INT AS sample_size, a, b, c, d, e, a + b + c + d + e AS total, a + b + c + d + e <> 120 AS partial
+FROM p WHERE least(a, b, c, d, e) >= 4 AND a + b + c + d + e <= 120""", ("date",))
+def table_polls(spark, sf):
+    """A page with a table of polls for each customer, printed from the orders, is read back."""
+    cell = lambda x: F.concat(F.lit("<td>"), x.cast("string"), F.lit("</td>"))
+    printed = [F.date_format("o_orderdate", "d MMM yyyy"), F.col("o_orderpriority"), 300 + F.col("o_orderkey") % 1500, *[F.expr(x) for x in PRINTED]]
+    lines = table(spark, sf, "orders").select("o_custkey", F.struct("o_orderkey", F.concat(F.lit("<tr>"), *[cell(x) for x in printed], F.lit("</tr>")).alias("line")).alias("l"))
+    head = '<table class="wikitable"><tr>' + "".join(f"<th>{h}</th>" for h in ("Date", "Firm", "Sample", *[n for n, _ in COLUMNS])) + "</tr>"
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "")
+    pages = lines.groupBy(F.col("o_custkey").cast("string").alias("url")).agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
+    needles = spark.createDataFrame([(n, c, i) for i, (n, c) in enumerate(COLUMNS)], "needle string, party_id string, ord int")
+    found = pollpages.table_polls(pages, needles, ALIASES, list(FIRMS), [])
+    return found.select("source", "row", "id", "date", "pollster", "sample_size", *[F.col("seats")[c].alias(c) for _, c in COLUMNS], "total", "partial")
+
+
 @query("report_table", f"""WITH {model.AVERAGE} SELECT '# Shares' || chr(10) || chr(10) || '| party_id | share |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || party_id || ' | ' || printf('%.4f', round(share, 4)) || ' |', chr(10) ORDER BY party_id) AS document FROM avgs""")
 def report_table(spark, sf):
     rows = model.party_average(spark, sf).withColumn("share", F.format_string("%.4f", F.round("share", 4)))

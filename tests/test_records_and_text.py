@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyloom.operators import mentions as named
 from tallyloom.operators import quality, report, textops
 from tallyloom.plans import catalog, queries_data
 from tallyloom.sources import readers, sinks
@@ -87,18 +88,18 @@ def test_hebrew_text(spark):
     assert one(spark, textops.normalize(F.col("t")), t="חד״ש־תע״ל ׁ  ‘x’") == "חדש תעל x"
     assert one(spark, textops.hebrew_date(F.col("t"), F.lit("2020-01-01").cast("date")).cast("string"), t="ביום 5 בספטמבר 2026") == "2026-09-05"
     assert one(spark, textops.sample_size(F.col("t")), t="In 2026, 1,204 adults") == 1204
-    scanner = textops.Scanner([("הליכוד", "likud"), ("ליכוד", "likud"), ("ישר", "yashar"), ("שס", "shas")])
-    levels = {p["party_id"]: p["seats"] for p in scanner.read("הליכוד מקבל 24 מנדטים, ישר 22, שס 2")}
-    assert levels == {"likud": 24, "yashar": 22, "shas": None}
-    read = lambda t: scanner.read(t)[0]["seats"]
-    assert read("הליכוד יורד ל 21 מנדטים") == 21 and read("הליכוד יורד ב 4 מנדטים") is None and read("הליכוד מאבד 4 מנדטים") is None
-    assert read("הליכוד. עוד 46 ימים") is None and read("הליכוד וכל השאר ביחד 39 מנדטים") is None
+    aliases = [("הליכוד", "likud"), ("ליכוד", "likud"), ("ישר", "yashar"), ("שס", "shas")]
+    texts = ["הליכוד מקבל 24 מנדטים, ישר 22, שס 2", "הליכוד יורד ל 21 מנדטים", "הליכוד יורד ב 4 מנדטים", "הליכוד מאבד 4 מנדטים", "הליכוד. עוד 46 ימים", "הליכוד וכל השאר ביחד 39 מנדטים"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = {r.id: r.mentions for r in named.mentions(frame, "t", aliases).collect()}
+    assert {p.party_id: p.seats for p in found[0]} == {"likud": 24, "yashar": 22, "shas": None}
+    assert [found[i][0].seats for i in range(1, 6)] == [21, None, None, None, None]
     frame = spark.createDataFrame([(1, "הליכוד 24, ישר 22. הליכוד 30")], "id int, t string")
-    first = textops.first_readings(textops.mentions(frame, "t", scanner.aliases), ["id"]).collect()
+    first = named.first_readings(named.mentions(frame, "t", aliases), ["id"]).collect()
     assert {r.party_id: r.seats for r in first} == {"likud": 24, "yashar": 22}
-    assert textops.read_polls(textops.mentions(frame, "t", scanner.aliases), ["id"], least=2).first()["seats"] == {"likud": 24, "yashar": 22}
+    assert named.read_polls(named.mentions(frame, "t", aliases), ["id"], least=2).first()["seats"] == {"likud": 24, "yashar": 22}
     spellings = spark.createDataFrame([("a", "X"), ("b", "X"), ("a", "Long Name"), ("b", "Y")], "party_id string, text string")
-    assert [(r.text, r.party_id) for r in textops.alias_table(spellings).collect()] == [("Long Name", "a"), ("Y", "b")]
+    assert [(r.text, r.party_id) for r in named.alias_table(spellings).collect()] == [("Long Name", "a"), ("Y", "b")]
 
 
 def test_sources(spark, tmp_path):
