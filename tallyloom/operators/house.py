@@ -14,13 +14,28 @@ def kernel_sums(obs: DataFrame, value: str, weight: str, config: ModelConfig = D
     """(party_id, day, pollster, a, w): for each party and observed day, each pollster's values and weights
     under the kernel 0.5 ** (|days apart| / half-life).
 
-    The kernel depends on days only, so both sides are first summed by day; the join's size is
-    parties * days * days * pollsters whatever the number of readings. ``obs``: party_id, pollster, day.
+    The kernel is a product of two exponentials on either side of a day, so two running sums over the days of a
+    (party, pollster) give it: rows and work are parties * days * pollsters, and no day is joined with another.
+    ``obs``: party_id, pollster, day; rows without a party or a day are left out. The days of a party may span
+    2,000 half-lives (the factors are doubles).
     """
-    source = obs.groupBy("party_id", "pollster", "day").agg(F.sum(F.col(value) * F.col(weight)).alias("_a"), F.sum(weight).alias("_w"))
-    days = obs.select("party_id", F.col("day").alias("at")).distinct()
-    k = F.pow(F.lit(0.5), F.abs(F.datediff("day", "at")) / config.half_life_days)
-    return days.join(source, "party_id").groupBy("party_id", F.col("at").alias("day"), "pollster").agg(F.sum(F.col("_a") * k).alias("a"), F.sum(F.col("_w") * k).alias("w"))
+    rows = obs.where("party_id is not null and day is not null").select(
+        "party_id", "pollster", "day", (F.col(value) * F.col(weight)).alias("a"), F.col(weight).cast("double").alias("w")
+    )
+    pollsters, days = (rows.select("party_id", c).distinct() for c in ("pollster", "day"))
+    grid = days.join(pollsters, "party_id").select("party_id", "pollster", "day", F.lit(0.0).alias("a"), F.lit(0.0).alias("w"))
+    daily = rows.unionByName(grid).groupBy("party_id", "pollster", "day").agg(F.sum("a").alias("a"), F.sum("w").alias("w"))
+    one = W.partitionBy("party_id", "pollster")
+    middle = (F.unix_date(F.min("day").over(one)) + F.unix_date(F.max("day").over(one))) / 2
+    rise = F.pow(F.lit(2.0), (F.unix_date("day") - middle) / config.half_life_days)
+    daily = daily.withColumn("_rise", rise)
+    up, down = (one.orderBy(o).rowsBetween(W.unboundedPreceding, W.currentRow) for o in (F.col("day"), F.col("day").desc()))
+
+    def kernel(c: str):
+        past, future = F.sum(F.col(c) * F.col("_rise")).over(up) / F.col("_rise"), F.sum(F.col(c) / F.col("_rise")).over(down) * F.col("_rise")
+        return (past + future - F.col(c)).alias(c)
+
+    return daily.select("party_id", "day", "pollster", kernel("a"), kernel("w"))
 
 
 def leave_one_out(sums: DataFrame, effects: DataFrame | None = None) -> DataFrame:
@@ -54,8 +69,10 @@ def center(effects: DataFrame, pollster_weights: DataFrame) -> DataFrame:
 
 
 def house_effects(obs: DataFrame, value: str, kernel_weight: str, residual_weight: str, pollster_weights: DataFrame, rounds: int = 12, config: ModelConfig = DEFAULT, cut_lineage: bool = True) -> DataFrame:
-    """The fixed point after ``rounds`` rounds from zero, centred. Each round's effects (pollsters * parties rows)
-    are checkpointed, so the plan does not grow."""
+    """The fixed point after ``rounds`` rounds from zero, centred. The readings are checkpointed once, and so are
+    each round's effects (pollsters * parties rows): neither is made again, and the plan does not grow."""
+    if cut_lineage:
+        obs = obs.checkpoint()
     sums = kernel_sums(obs, value, kernel_weight, config)
     if cut_lineage:
         sums = sums.checkpoint()

@@ -167,24 +167,29 @@ query("flagship", f"""WITH {AVERAGE}, vv AS (SELECT a.party_id, round(share, 6)
 SELECT party_id, round(share, 6) AS share, qualifies, seats FROM alloc""")(flagship)
 
 
-def observations(spark, sf, days: int = 180) -> DataFrame:
-    """Readings of the last ``days`` days: party_id, pollster, day, value, weights; one pollster is unattributed."""
-    rows = weighed(spark, sf)
-    last = views.last_date(views.poll(spark, sf))
-    recent = rows.where(F.datediff(last, "date") < days).withColumns({
+def observations(spark, sf) -> DataFrame:
+    """All readings: party_id, pollster, day, value, weights; one pollster is unattributed."""
+    rows = weighed(spark, sf).withColumns({
         "static": F.col("sample") * F.col("quality") * F.col("mode_weight"), "kernel": F.col("sample") * F.col("quality") * F.col("mode_weight") * F.col("completeness")
     })
-    return views.reading(spark, sf).join(recent, F.col("poll_id") == F.col("id")).select(
+    return views.reading(spark, sf).join(rows, F.col("poll_id") == F.col("id")).select(
         "poll_id", "party_id", "pollster", F.col("date").alias("day"), (F.col("seats") / 1000).alias("value"), "static", "kernel", "weight", (F.col("pollster") != "MACHINERY").alias("attributed")
     )
 
 
-OBS = f"""{PRELUDE}, obs AS (
+def _kernel_sql(c: str) -> str:
+    """The kernel's sum of a column by running sums over the days before and after."""
+    return f"sum({c} * e) OVER up / e + sum({c} / e) OVER down * e - {c} AS {c}"
+
+
+OBS = f"""{PRELUDE}, obs AS MATERIALIZED (
   SELECT poll_id, party_id, pollster, date AS day, seats / 1000 AS value, sample * quality * mode_weight AS static, sample * quality * mode_weight * completeness AS kernel, weight, pollster <> 'MACHINERY' AS attributed
-  FROM reading JOIN w ON poll_id = id CROSS JOIN newest WHERE date_diff('day', date, newest.d) < 180),
+  FROM reading JOIN w ON poll_id = id),
 src AS (SELECT party_id, pollster, day, sum(value * kernel) AS a, sum(kernel) AS w FROM obs GROUP BY ALL),
-ks AS (SELECT d.party_id, d.at AS day, s.pollster, sum(s.a * pow(0.5, abs(date_diff('day', s.day, d.at)) / 14.0)) AS a, sum(s.w * pow(0.5, abs(date_diff('day', s.day, d.at)) / 14.0)) AS w
-  FROM (SELECT DISTINCT party_id, day AS at FROM obs) d JOIN src s ON d.party_id = s.party_id GROUP BY ALL)"""
+kd AS (SELECT party_id, pollster, day, coalesce(a, 0) AS a, coalesce(src.w, 0) AS w, pow(2.0, date_diff('day', DATE '1995-06-01', day) / 14.0) AS e
+  FROM (SELECT DISTINCT party_id, day FROM obs) JOIN (SELECT DISTINCT party_id, pollster FROM obs) USING (party_id) LEFT JOIN src USING (party_id, pollster, day)),
+ks AS MATERIALIZED (SELECT party_id, pollster, day, {_kernel_sql('a')}, {_kernel_sql('w')} FROM kd
+  WINDOW up AS (PARTITION BY party_id, pollster ORDER BY day), down AS (PARTITION BY party_id, pollster ORDER BY day DESC))"""
 
 
 @query("kernel_loo", f"""WITH {OBS}
@@ -199,7 +204,7 @@ def _effect_sql(name: str, before: str | None) -> str:
     a = "j.a" if before is None else "j.a - coalesce(e.effect, 0) * j.w"
     join = "" if before is None else f"LEFT JOIN {before} e ON e.pollster = j.pollster AND e.party_id = j.party_id"
     return f"""{name}_c AS (SELECT i.party_id, i.day, i.pollster, sum({a}) / sum(j.w) AS consensus FROM ks i JOIN ks j ON i.party_id = j.party_id AND i.day = j.day AND i.pollster <> j.pollster {join} GROUP BY ALL),
-{name} AS (SELECT o.pollster, o.party_id, sum(greatest(-0.03, least(0.03, value - consensus)) * static) / sum(static) * count(*) / (count(*) + 3.0) AS effect, count(*) AS n
+{name} AS MATERIALIZED (SELECT o.pollster, o.party_id, sum(greatest(-0.03, least(0.03, value - consensus)) * static) / sum(static) * count(*) / (count(*) + 3.0) AS effect, count(*) AS n
   FROM obs o JOIN {name}_c c ON o.party_id = c.party_id AND o.day = c.day AND o.pollster = c.pollster WHERE o.attributed GROUP BY ALL)"""
 
 
@@ -210,11 +215,14 @@ def house_effect_step(spark, sf):
     return out.select("pollster", "party_id", r6("effect").alias("effect"), "n")
 
 
-@query("house_effects", f"""WITH {OBS}, {_effect_sql('h1', None)}, {_effect_sql('h2', 'h1')}, pw AS (SELECT pollster, sum(weight) AS w FROM w GROUP BY pollster)
-SELECT h2.pollster, party_id, round(effect - sum(effect * w) OVER (PARTITION BY party_id) / sum(w) OVER (PARTITION BY party_id), 6) AS effect, n FROM h2 JOIN pw ON h2.pollster = pw.pollster""")
+ROUNDS = 12
+
+
+@query("house_effects", f"""WITH {OBS}, {', '.join(_effect_sql(f'h{i}', f'h{i - 1}' if i > 1 else None) for i in range(1, ROUNDS + 1))}, pw AS (SELECT pollster, sum(weight) AS w FROM w GROUP BY pollster)
+SELECT z.pollster, party_id, round(effect - sum(effect * w) OVER (PARTITION BY party_id) / sum(w) OVER (PARTITION BY party_id), 6) AS effect, n FROM h{ROUNDS} z JOIN pw ON z.pollster = pw.pollster""")
 def house_effects(spark, sf):
     total = weighed(spark, sf).groupBy("pollster").agg(F.sum("weight").alias("weight"))
-    out = house.house_effects(observations(spark, sf), "value", "kernel", "static", total, rounds=2, cut_lineage=False)
+    out = house.house_effects(observations(spark, sf), "value", "kernel", "static", total, ROUNDS)
     return out.select("pollster", "party_id", r6("effect").alias("effect"), "n")
 
 

@@ -1,6 +1,7 @@
 """Model operators: seats, weights, effects, calibration, random numbers, draws."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -99,6 +100,27 @@ def test_absent_flagged_and_residual(spark):
     assert full["a"] == pytest.approx(0.55) and full["other"] == pytest.approx(0.05)
 
 
+def test_kernel_sums_equal_all_pairs_of_days(spark):
+    rng = random.Random(5)
+    start = dt.date(1990, 1, 1)
+    rows = [(rng.choice("ab"), rng.choice(["x", "y", None]), start + dt.timedelta(days=rng.choice([0, 1, 3, 40, 41, 900, 9000])), rng.random(), 1 + rng.random()) for _ in range(60)]
+    rows += [("a", "x", None, 1.0, 1.0), (None, "x", start, 1.0, 1.0), rows[0]]
+    obs = spark.createDataFrame(rows, "party_id string, pollster string, day date, value double, w double")
+    got = {(r.party_id, r.day, r.pollster): (r.a, r.w) for r in house.kernel_sums(obs, "value", "w").collect()}
+    known = [r for r in rows if r[0] and r[2]]
+    want = {}
+    for party, at in {(r[0], r[2]) for r in known}:
+        for p, pollster, day, value, w in known:
+            if p == party:
+                k = 0.5 ** (abs((day - at).days) / DEFAULT.half_life_days) * w
+                a, b = want.get((party, at, pollster), (0.0, 0.0))
+                want[(party, at, pollster)] = (a + value * k, b + k)
+    assert got.keys() == want.keys()
+    for key, pair in want.items():
+        assert got[key] == pytest.approx(pair, rel=1e-9)
+    assert house.kernel_sums(obs.limit(0), "value", "w").count() == 0
+
+
 def test_house_effects(spark):
     rows = []
     for day in range(4):
