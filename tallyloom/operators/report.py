@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import pct_guard, signed
 
 
-def movement(today: DataFrame, before: DataFrame, key: str, value: str, least: float = 0.3) -> DataFrame:
-    """``key``, before, now, delta against the exact previous day (0 for a new key); changes under ``least`` go."""
-    rows = today.select(key, F.col(value).alias("now")).join(before.select(key, F.col(value).alias("before")), key, "left")
+def movement(today: DataFrame, before: DataFrame, key: str | list[str], value: str, least: float = 0.3) -> DataFrame:
+    """``key``, before, now, delta against the exact previous day (0 for a new key); changes under ``least`` go.
+    Several days at once: with the day in ``key`` and ``before`` moved on by a day."""
+    keys = [key] if isinstance(key, str) else key
+    rows = today.select(*keys, F.col(value).alias("now")).join(before.select(*keys, F.col(value).alias("before")), keys, "left")
     rows = rows.withColumn("delta", F.coalesce(F.col("now") - F.col("before"), F.lit(0.0)))
-    return rows.where(F.abs("delta") >= least).orderBy(F.abs("delta").desc(), key)
+    return rows.where(F.abs("delta") >= least).orderBy(F.abs("delta").desc(), *keys)
 
 
 def lagged(rows: DataFrame, key: str, date: str, value: str, days: int) -> DataFrame:

@@ -21,12 +21,12 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("k")).agg(F.round(F.sum("value"), 2).alias("v"))
 
 
-@query("movement", f"""WITH {DAILY} SELECT a.k, a.v AS now, b.v AS before, round(coalesce(a.v - b.v, 0), 2) AS delta FROM dl a LEFT JOIN dl b ON a.k = b.k AND b.day = DATE '2024-01-14'
-WHERE a.day = DATE '2024-01-15' AND abs(coalesce(a.v - b.v, 0)) >= 0.3""")
+@query("movement", f"""WITH {DAILY} SELECT a.k, a.day, a.v AS now, b.v AS before, round(coalesce(a.v - b.v, 0), 2) AS delta FROM dl a LEFT JOIN dl b ON a.k = b.k AND a.day = b.day + 1
+WHERE abs(coalesce(a.v - b.v, 0)) >= 0.3""", ("day",))
 def movement(spark, sf):
     rows = daily(spark, sf)
-    out = report.movement(rows.where("day = DATE '2024-01-15'"), rows.where("day = DATE '2024-01-14'"), "k", "v")
-    return out.select("k", "now", "before", F.round("delta", 2).alias("delta"))
+    out = report.movement(rows, rows.withColumn("day", F.date_add("day", 1)), ["k", "day"], "v")
+    return out.select("k", "day", "now", "before", F.round("delta", 2).alias("delta"))
 
 
 @query("trend14d", f"WITH {DAILY} SELECT a.k, a.day, a.v, b.v AS before, round(coalesce(a.v - b.v, 0), 2) AS delta FROM dl a LEFT JOIN dl b ON a.k = b.k AND a.day = b.day + 14", ("day",))
