@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyloom.llm import chat, decontaminate, licenses, linededup, mixing, rules, secrets, simhash, substrings, toxicity
+from tallyloom.llm import audit, chat, decontaminate, licenses, linededup, mixing, rules, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scans": licenses.op8_license_scans,
         "op9_secret_scans": secrets.op9_secret_scans,
         "op10_mixing": mixing.op10_mixing,
+        "op13_filter_audit": audit.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_formatting": chat.ORACLE_SQL,
         "op9_secret_scans": secrets.ORACLE_SQL,
         "op10_mixing": mixing.ORACLE_SQL,
+        "op13_filter_audit": audit.ORACLE_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: sql for name, sql in known.items() if sql is not None}

@@ -64,15 +64,14 @@ DATABASE = "tallyloom_work"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary folder; a
-    cluster must name one that the driver and all executors share."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary folder,
+    and the session's settings stay as they are; a cluster must name one that the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-work")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-work")
 
 
 def written(df: DataFrame, name: str, partitions: tuple[str, ...] = (), buckets: int = 0, key: str = "key") -> DataFrame:
