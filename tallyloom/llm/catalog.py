@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyloom.llm import audit, chat, decontaminate, licenses, linededup, mixing, ranked, rules, secrets, simhash, substrings, toxicity
+from tallyloom.llm import audit, chat, decontaminate, langid, licenses, linededup, mixing, ranked, rules, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scans": licenses.op8_license_scans,
         "op9_secret_scans": secrets.op9_secret_scans,
         "op10_mixing": mixing.op10_mixing,
+        "op11_language_id": langid.op11_language_id,
         "op12_ranked_search": ranked.op12_ranked_search,
         "op13_filter_audit": audit.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
