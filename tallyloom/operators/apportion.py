@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def qualified(votes: DataFrame, by: list[str], threshold: float, value: str = "votes") -> DataFrame:
+def qualified(votes: DataFrame, by: list[str], threshold: float | Column, value: str = "votes") -> DataFrame:
     """``share`` of all votes of the group (failing lists included) and ``qualifies``."""
     total = F.sum(value).over(W.partitionBy(*by))
     return votes.withColumn("share", F.when(total > 0, F.col(value) / total).otherwise(F.lit(0.0))).withColumn(
@@ -37,7 +37,7 @@ def largest_averages(votes: DataFrame, by: list[str], seats: int | Column, key:
     return votes.select(*by, key).join(won, [*by, key], "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
 
 
-def allocate(votes: DataFrame, by: list[str], seats: int, threshold: float, key: str = "party_id", value: str = "votes", order: str = "ord", partner: str | None = "partner") -> DataFrame:
+def allocate(votes: DataFrame, by: list[str], seats: int, threshold: float | Column, key: str = "party_id", value: str = "votes", order: str = "ord", partner: str | None = "partner") -> DataFrame:
     """Threshold, mutual agreements pooled, D'Hondt over pools and then inside them.
 
     An agreement counts only if both name each other and both qualify. Returns ``by``, ``key``, share,

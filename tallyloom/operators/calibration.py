@@ -42,10 +42,10 @@ def calibrate_groups(misses: DataFrame, blocs: list[str], group: str = "grp") ->
     return per.withColumn("applied", F.when(inside, F.col("applied") - mean).otherwise(F.col("applied")))
 
 
-def calibrate_parties(groups: DataFrame, parties: DataFrame, seats: int = DEFAULT.total_seats, extra: dict[str, str] | None = None) -> DataFrame:
+def calibrate_parties(groups: DataFrame, parties: DataFrame, seats: int = DEFAULT.total_seats, extra: dict[str, str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Share adjustments by party, summing to zero: each bloc's seats in proportion to its parties' strength, and
-    half of an extra group's for each party it names. ``parties``: party_id, bloc, strength, ord."""
-    group = W.partitionBy("bloc")
+    half of an extra group's for each party it names. ``parties``: ``by``, party_id, bloc, strength, ord."""
+    group = W.partitionBy(*by, "bloc")
     part = F.col("strength") / F.sum("strength").over(group)
     rows = parties.withColumn("_part", part).join(groups.select(F.col("grp").alias("bloc"), "applied"), "bloc", "left")
     moved = F.coalesce(F.col("applied") * F.col("_part"), F.lit(0.0))
@@ -57,7 +57,7 @@ def calibrate_parties(groups: DataFrame, parties: DataFrame, seats: int = DEFAUL
         rows = rows.withColumn("_g", which).join(more, "_g", "left")
         moved = moved + F.coalesce(F.col("_x") / 2, F.lit(0.0))
     rows = rows.withColumn("adjustment", moved * LISTED_SHARE / seats)
-    return zero_sum(rows, "adjustment").select("party_id", "bloc", "adjustment")
+    return zero_sum(rows, "adjustment", [*by]).select(*by, "party_id", "bloc", "adjustment")
 
 
 def calibration_totals(groups: DataFrame, adjustments: DataFrame, blocs: list[str], seats: int = DEFAULT.total_seats) -> DataFrame:
@@ -67,11 +67,12 @@ def calibration_totals(groups: DataFrame, adjustments: DataFrame, blocs: list[st
     return sd.crossJoin(moved)  # one row each
 
 
-def momentum(obs: DataFrame, as_of: Column, key: str = "party_id", represent: Column | None = None, enabled: bool = True, config: ModelConfig = DEFAULT) -> DataFrame:
+def momentum(obs: DataFrame, as_of: Column, key: str = "party_id", represent: Column | None = None, enabled: bool = True, config: ModelConfig = DEFAULT, by: tuple[str, ...] = (), cap_pp: Column | None = None) -> DataFrame:
     """Recent against baseline attention, as a clipped change and a capped, centred share adjustment.
 
     ``obs``: day, ``key``, volume_share, engagement_share, sentiment. The windows are (as_of - 7, as_of] and
-    (as_of - 28, as_of - 7]; both come from one conditional aggregation. ``represent`` scales the adjustment.
+    (as_of - 28, as_of - 7]; both come from one conditional aggregation. ``represent`` scales the adjustment. With
+    ``by``, ``as_of`` and ``cap_pp`` may be columns of ``obs`` that are one value for each ``by``.
     """
     age = F.datediff(as_of, "day")
     recent = (age >= 0) & (age < config.social_window_days)
@@ -81,10 +82,11 @@ def momentum(obs: DataFrame, as_of: Column, key: str = "party_id", represent: Co
         mean = lambda c: F.avg(F.when(window, F.col(c)))
         return (0.35 * mean("volume_share") + 0.65 * mean("engagement_share")) * (1 + 0.25 * mean("sentiment"))
 
-    rows = obs.where(recent | base).groupBy(key).agg(F.coalesce(attention(recent), F.lit(0.0)).alias("recent"), F.coalesce(attention(base), F.lit(0.0)).alias("baseline"))
+    cap = F.lit(float(config.social_cap_pp)) if cap_pp is None else cap_pp
+    rows = obs.where(recent | base).groupBy(*by, key).agg(F.first(cap).alias("_cap"), F.coalesce(attention(recent), F.lit(0.0)).alias("recent"), F.coalesce(attention(base), F.lit(0.0)).alias("baseline"))
     change = F.when(F.col("baseline") > 0, clip((F.col("recent") - F.col("baseline")) / F.nullif("baseline", F.lit(0.0)), -0.4, 0.4)).otherwise(0.0)
     rows = rows.withColumn("momentum", change)
     if not enabled:
-        return rows.withColumn("adjustment", F.lit(0.0))
-    scale = F.lit(config.social_cap_pp / 100 / 0.4) * (F.lit(0.5) if represent is None else represent)
-    return zero_sum(rows.withColumn("adjustment", F.col("momentum") * scale), "adjustment")
+        return rows.drop("_cap").withColumn("adjustment", F.lit(0.0))
+    scale = F.col("_cap") / 100 / 0.4 * (F.lit(0.5) if represent is None else represent)
+    return zero_sum(rows.withColumn("adjustment", F.col("momentum") * scale), "adjustment", [*by]).drop("_cap")

@@ -58,12 +58,15 @@ def with_residual(shares: DataFrame, key: str, label, config: ModelConfig = DEFA
     return shares.select(key, "share", "support").unionByName(rest).crossJoin(F.broadcast(total))  # one row
 
 
-def impute_below(readings: DataFrame, below: DataFrame, value: str = "share", config: ModelConfig = DEFAULT) -> DataFrame:
+def impute_below(readings: DataFrame, below: DataFrame, value: str = "share", config: ModelConfig = DEFAULT, by: tuple[str, ...] = (), threshold: Column | None = None) -> DataFrame:
     """Adds a row for each flagged (poll, party) that has no reading, at its published share or a part of the
-    threshold. A party that is neither read nor flagged stays absent. ``below``: poll_id, party_id, published."""
-    missing = below.join(readings.select("poll_id", "party_id"), ["poll_id", "party_id"], "left_anti")
-    rows = missing.select("poll_id", "party_id", F.coalesce("published", F.lit(config.imputed_threshold_share * config.threshold)).alias(value), F.lit(True).alias("imputed"))
-    return readings.select("poll_id", "party_id", value, F.lit(False).alias("imputed")).unionByName(rows)
+    threshold. A party that is neither read nor flagged stays absent. ``below``: ``by``, poll_id, party_id, published
+    (and what ``threshold`` reads, where it is a column)."""
+    keys = [*by, "poll_id", "party_id"]
+    missing = below.join(readings.select(*keys), keys, "left_anti")
+    floor = config.imputed_threshold_share * (F.lit(config.threshold) if threshold is None else threshold)
+    rows = missing.select(*keys, F.coalesce("published", floor).alias(value), F.lit(True).alias("imputed"))
+    return readings.select(*keys, value, F.lit(False).alias("imputed")).unionByName(rows)
 
 
 def effective_size(weights: DataFrame, by: list[str], weight: str = "weight", visible: float = 0.02) -> DataFrame:
