@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import UPPER, bind, table, text_of, words
+from tallyloom.llm.common import UPPER, bind, table, text_of, words, written
 
 SYMBOLS = "#$%&*|"
 DUPLICATE = "E"
@@ -76,6 +76,7 @@ def cells(docs: DataFrame, labels: DataFrame, filters: dict[str, str] = FILTERS)
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("doc_id").isNotNull(), F.col("n"))), F.lit(0)).alias("named"),
         F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("n_first"),
     )
+    groups = written(groups, "audit-groups")  # read twice below; the texts are read once
     copied = groups.groupBy("name").agg(F.min("first").alias("least"), F.sum("named").alias("all")).where("all > 1").drop("all")
     groups = groups.join(copied, "name", "left")
     failing = F.when(F.col("least").isNull(), F.lit(0)).otherwise(F.col("named") - F.when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(F.lit(0)))
