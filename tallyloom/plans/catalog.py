@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import queries_data, queries_model
+from tallyloom.plans import queries_data, queries_model, queries_runs
 
 flagship = queries_model.flagship
-assert queries_data.query is queries_model.query
+assert queries_data.query is queries_runs.query is queries_model.query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import DEFAULT, ModelConfig
-from tallyloom.functions.scalars import seed_from_string
-from tallyloom.operators import apportion, calibration, house, montecarlo, quality, weights
+from tallyloom.operators import apportion, quality, weights
+from tallyloom.plans import runs
 from tallyloom.sources import sinks
 
 
@@ -43,62 +43,21 @@ def poll_shares(polls: DataFrame, readings: DataFrame, published: DataFrame, con
     return joined.select("poll_id", "party_id", F.coalesce(F.col("_votes") * (1 - F.col("wasted")), F.col("share")).alias("share"))
 
 
-def aggregate(weighed: DataFrame, shares: DataFrame, below: DataFrame, unattributed: list[str], config: ModelConfig = DEFAULT, rounds: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(shares with the residual, house effects, sizes). ``below``: poll_id, party_id, published."""
-    rows = shares.join(weighed.select(F.col("id").alias("poll_id"), F.col("date").alias("day"), "pollster", "weight", "sample", "quality", "mode_weight", "completeness"), "poll_id")
-    static = F.col("sample") * F.col("quality") * F.col("mode_weight")
-    obs = rows.withColumns({"static": static, "kernel": static * F.col("completeness"), "attributed": ~F.col("pollster").isin(unattributed)})
-    per_pollster = weighed.where(~F.col("pollster").isin(unattributed)).groupBy("pollster").agg(F.sum("weight").alias("weight"))
-    effects = house.house_effects(obs, "share", "kernel", "static", per_pollster, rounds, config)
-    fixed = rows.join(effects.select("pollster", "party_id", "effect"), ["pollster", "party_id"], "left")
-    fixed = fixed.select("poll_id", "party_id", (F.col("share") - F.coalesce("effect", F.lit(0.0))).alias("share"))
-    filled = weights.impute_below(fixed, below, "share", config).join(weighed.select(F.col("id").alias("poll_id"), "weight"), "poll_id")
-    mean = weights.weighted_average(filled, ["party_id"], "share", "weight", config)
-    return mean, effects, weights.effective_size(weighed, [])
-
-
-def central_shares(mean: DataFrame, parties: DataFrame, adjustments: list[DataFrame], config: ModelConfig = DEFAULT) -> DataFrame:
-    """(party_id, share, bloc, ord, partner): averages plus adjustments (party_id, adjustment), floored, with the
-    residual renormalised to 1 beside them (column ``other``)."""
-    rows = mean.select("party_id", "share")
-    for extra in adjustments:
-        add = extra.select("party_id", F.col("adjustment").alias("_a"))
-        rows = rows.join(add, "party_id", "left").select("party_id", (F.col("share") + F.coalesce("_a", F.lit(0.0))).alias("share"))
-    rows = rows.select("party_id", F.greatest(F.lit(config.share_floor), "share").alias("share"))
-    raw = mean.agg(F.greatest(F.lit(config.residual_floor), 1 - F.sum("share")).alias("_rest"))
-    total = rows.agg(F.sum("share").alias("_sum")).crossJoin(raw)  # one row each
-    scaled = rows.crossJoin(F.broadcast(total)).select("party_id", (F.col("share") / (F.col("_sum") + F.col("_rest"))).alias("share"), (F.col("_rest") / (F.col("_sum") + F.col("_rest"))).alias("other"))
-    return scaled.join(parties.select("party_id", "bloc", "ord", "partner"), "party_id")
-
-
 def build_forecast(polls: DataFrame, readings: DataFrame, published: DataFrame, grades: DataFrame, parties: DataFrame, as_of: str, misses: DataFrame | None, social: DataFrame | None, members: DataFrame, blocs: list[str], turnout_bloc: str, leader, unattributed: list[str] = [""], config: ModelConfig = DEFAULT, rounds: int = 12) -> Forecast:  # noqa: B006
-    """The whole model as of a day. ``social`` adds momentum; ``misses`` calibrates; both may be left out."""
-    day = F.lit(as_of).cast("date")
-    weighed = weights.weigh(polls, day, grades, config)
-    shares = poll_shares(weighed, readings, published, config)
+    """The whole model as of a day: one run of ``runs.forecast_runs``. ``social`` adds momentum; ``misses`` calibrates;
+    both may be left out."""
+    one = runs.run_table(polls.sparkSession, {"": {"social": social is not None}}, as_of, config)
+    f = build_runs(one, polls, readings, published, grades, parties, misses, social, members, blocs, turnout_bloc, leader, unattributed, config, rounds)
+    central = f.central.select("party_id", "share", "bloc", "ord", "partner", "other")
+    shares = f.central.select("party_id", F.col("poll_share").alias("share"), "support")
+    return Forecast(shares, *[df.drop("run") for df in (f.effects,)], central, *[df.drop("run") for df in (f.draws, f.parties, f.blocs, f.scenarios, f.outlook, f.sizes)])
+
+
+def build_runs(table: DataFrame, polls: DataFrame, readings: DataFrame, published: DataFrame, grades: DataFrame, parties: DataFrame, misses: DataFrame | None, social: DataFrame | None, members: DataFrame, blocs: list[str], turnout_bloc: str, leader, unattributed: list[str] = [""], config: ModelConfig = DEFAULT, rounds: int = 12) -> runs.Runs:  # noqa: B006
+    """The whole model for every row of ``table`` (see ``runs``), from seats as they were published."""
+    shares = poll_shares(polls, readings, published, config).checkpoint()
     below = published.where("below").select("poll_id", "party_id", F.col("share").alias("published"))
-    mean, effects, sizes = aggregate(weighed, shares, below, unattributed, config, rounds)
-    adjustments = []
-    if social is not None:
-        adjustments.append(calibration.momentum(social, day, config=config))
-    if misses is not None:
-        groups = calibration.calibrate_groups(misses, blocs)
-        adjustments.append(calibration.calibrate_parties(groups, parties.join(mean.select("party_id", F.col("share").alias("strength")), "party_id"), config.total_seats))
-    central = central_shares(mean, parties, adjustments, config).checkpoint()
-    other = central.agg(F.max("other")).first()[0] or config.residual_floor
-    days = spark_days(central, config.election_date, as_of)
-    seed = seed_from_string(f"{as_of}|{config.simulations}|{'social' if social is not None else 'nosocial'}")
-    rows = montecarlo.draws(central, seed, config.simulations, blocs, turnout_bloc, days, other, config).checkpoint()
-    return Forecast(
-        mean, effects, central, rows, montecarlo.summary(rows), montecarlo.bloc_summary(rows, config.majority),
-        montecarlo.scenarios(rows, members, config.majority), montecarlo.outlook(rows, blocs[0], leader, blocs[1], blocs[2], majority=config.majority), sizes,
-    )
-
-
-def spark_days(df: DataFrame, election: str, as_of: str) -> int:
-    """Days to the election, 0 after it."""
-    row = df.sparkSession.range(1).select(F.greatest(F.lit(0), F.datediff(F.lit(election).cast("date"), F.lit(as_of).cast("date"))).alias("d")).first()
-    return int(row["d"])
+    return runs.forecast_runs(table, polls, shares, below, grades, parties, misses, social, members, blocs, turnout_bloc, leader, unattributed, config, rounds)
 
 
 def effective_polls(curated: DataFrame, stored: DataFrame, attributed: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,19 +133,26 @@ def threshold_filter(spark, sf):
     return apportion.qualified(supplier_votes(spark, sf), [], 0.0325).select("party_id", r6("share").alias("share"), "qualifies")
 
 
-def allocation_sql(votes: str, by: str, seats: int, threshold: float) -> str:
-    """CTEs ``alloc`` (by, party_id, share, qualifies, seats) over the CTE ``votes`` (by, party_id, votes, ord, partner)."""
+def allocation_sql(votes: str, by: str, seats: int, threshold: float | str, tight: bool = False) -> str:
+    """CTEs ``alloc`` (by, party_id, share, qualifies, seats) over the CTE ``votes`` (by, party_id, votes, ord, partner).
+    ``tight`` leaves out quotients under all votes / (seats + lists), none of which can win, for many groups."""
     part = f"PARTITION BY {by}" if by else ""
     pre = f"{by}, " if by else ""
     on = f"a.{by} = b.{by} AND " if by else ""
+    inner = f"pooled JOIN ps USING ({pre}pool), generate_series(1, {seats}) g(k) WHERE k <= n"
+    if tight:
+        inner = f"(SELECT *, unnest(generate_series(1, n)) AS k FROM pooled JOIN ps USING ({pre}pool))"
+    tried = f"pools, generate_series(1, {seats}) g(k)"
+    if tight:
+        tried = f"(SELECT *, unnest(generate_series(1, least({seats}, floor(votes * ({seats} + count(*) OVER ({part})) / sum(votes) OVER ({part})) + 1)::BIGINT)) AS k FROM pools)"
     return f"""base AS (SELECT *, CASE WHEN sum(votes) OVER ({part}) > 0 THEN votes / sum(votes) OVER ({part}) ELSE 0 END AS share FROM {votes}),
 ok AS (SELECT * FROM base WHERE share >= {threshold} AND votes > 0),
 pooled AS (SELECT a.*, CASE WHEN b.partner = a.party_id AND b.party_id <> a.party_id THEN least(a.party_id::VARCHAR, b.party_id::VARCHAR) || '+' || greatest(a.party_id::VARCHAR, b.party_id::VARCHAR) ELSE a.party_id::VARCHAR END AS pool
   FROM ok a LEFT JOIN ok b ON {on}a.partner = b.party_id),
 pools AS (SELECT {pre}pool, sum(votes) AS votes, min(ord) AS ord FROM pooled GROUP BY {pre}pool),
-pq AS (SELECT {pre}pool, row_number() OVER ({part} ORDER BY votes / k DESC, votes DESC, ord) AS r FROM pools, generate_series(1, {seats}) g(k)),
+pq AS (SELECT {pre}pool, row_number() OVER ({part} ORDER BY votes / k DESC, votes DESC, ord) AS r FROM {tried}),
 ps AS (SELECT {pre}pool, count(*) AS n FROM pq WHERE r <= {seats} GROUP BY {pre}pool),
-iq AS (SELECT {pre}pool, party_id, n, row_number() OVER (PARTITION BY {pre}pool ORDER BY votes / k DESC, votes DESC, ord) AS r FROM pooled JOIN ps USING ({pre}pool), generate_series(1, {seats}) g(k) WHERE k <= n),
+iq AS (SELECT {pre}pool, party_id, n, row_number() OVER (PARTITION BY {pre}pool ORDER BY votes / k DESC, votes DESC, ord) AS r FROM {inner}),
 si AS (SELECT {pre}party_id, count(*) AS seats FROM iq WHERE r <= n GROUP BY {pre}party_id),
 alloc AS (SELECT {('base.' + by + ',') if by else ''} base.party_id, base.share, base.share >= {threshold} AND base.votes > 0 AS qualifies, coalesce(si.seats, 0)::INT AS seats FROM base LEFT JOIN si USING ({pre}party_id))"""
 
@@ -318,47 +327,65 @@ def normal_numbers(spark, sf):
     return montecarlo.normals(spark, 42, 10_000).select("n", F.round("z", 8).alias("z"))
 
 
-SIMS, DAYS = 200, 30
+SIMS, DAYS = DEFAULT.simulations, 30
 
 
 def simulated(spark, sf) -> DataFrame:
-    """200 draws over nations by supplied revenue, which sums to 0.97."""
+    """All draws over nations by supplied revenue, which sums to 0.97."""
     votes = supplier_votes(spark, sf)
     total = F.sum("votes").over(W.partitionBy())
     shares = votes.select("party_id", F.round(F.col("votes") / total * 0.97, 8).alias("share"), "bloc", "ord", "partner")
     return montecarlo.draws(shares, 42, SIMS, REGIONS, "ASIA", DAYS)
 
 
-def _draw_sql(sims: int = SIMS, days: int = DAYS) -> str:
+#: Lists, blocs and the turnout: the most normals that a draw takes.
+WIDTH = 25 + len(REGIONS) + 1
+
+
+def draw_runs_sql(sims: int) -> str:
+    """CTE ``dr`` (rs, run, sim, party_id, bloc, ord, share, qualifies, seats): the draws of the CTE ``ct`` (run, party_id,
+    bloc, ord, partner, share, other, seed, bloc_sd, party_sd, scale, threshold)."""
     blocs = ", ".join(f"('{b}', {i})" for i, b in enumerate(REGIONS))
-    scale = 1 + 0.3 * days / 30
-    return f"""{SUPPLIED}, {PARTIES}, bl(bloc, place) AS (VALUES {blocs}),
-sh AS (SELECT party_id, bloc, ord, partner, round(votes / sum(votes) OVER () * 0.97, 8) AS share FROM sv JOIN pt USING (party_id)),
-lv AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS slot, sum(share) OVER (PARTITION BY bloc) AS bs FROM sh JOIN bl USING (bloc) WHERE share > 0),
-wd AS (SELECT count(*) + 6 AS width FROM lv), {_normal_sql(5000)},
-sm AS (SELECT range AS sim FROM range({sims})),
-dv AS (SELECT sim, party_id, bloc, ord, partner, greatest(0.0002, share + (zb.z * 0.028 * {scale} * sqrt(greatest(0.02, bs) / 0.45) + CASE WHEN bloc = 'ASIA' THEN zt.z * 0.006 * 2.5 ELSE 0 END) * share / bs
-    + zp.z * 0.011 * greatest(0.35, least(1.8, sqrt(share / 0.1))) * {scale}) AS raw
-  FROM sm CROSS JOIN lv CROSS JOIN wd JOIN nz zb ON zb.n = sim * width + place JOIN nz zt ON zt.n = sim * width + 5 JOIN nz zp ON zp.n = sim * width + 6 + slot),
-dn AS (SELECT sim, party_id, ord, partner, raw / (sum(raw) OVER (PARTITION BY sim) + 0.03) AS votes FROM dv),
-du AS (SELECT * FROM dn UNION ALL SELECT sim, -1, 1073741824, NULL, 1 - sum(votes) FROM dn GROUP BY sim),
-{allocation_sql("du", "sim", 120, 0.0325)},
-dr AS (SELECT sim, a.party_id, bloc, ord, a.share, qualifies, seats FROM alloc a JOIN lv ON a.party_id = lv.party_id)"""
+    pairs = math.ceil(sims * WIDTH / 2 / (math.pi / 4) * 1.03) + 64
+    return f"""bl(bloc, place) AS (VALUES {blocs}),
+lv AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ord) AS slot, sum(share) OVER (PARTITION BY run, bloc) AS bs, count(*) OVER (PARTITION BY run) + {len(REGIONS) + 1} AS width, dense_rank() OVER (ORDER BY run) - 1 AS no FROM ct JOIN bl USING (bloc) WHERE share > 0),
+g AS (SELECT seed, range AS n FROM (SELECT DISTINCT seed FROM lv), range({2 * pairs})),
+s1 AS (SELECT seed, n, (seed + (n + 1) * 1831565813) % 4294967296 AS s FROM g),
+s2 AS (SELECT seed, n, ((xor(s, s >> 15)::HUGEINT * (s | 1)) % 4294967296)::BIGINT AS t FROM s1),
+s3 AS (SELECT seed, n, xor(t, ((t + (xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296) % 4294967296)::BIGINT) AS t FROM s2),
+pr AS (SELECT seed, n // 2 AS k, min(xor(t, t >> 14) / 4294967296.0::DOUBLE) FILTER (n % 2 = 0) * 2 - 1 AS u, min(xor(t, t >> 14) / 4294967296.0::DOUBLE) FILTER (n % 2 = 1) * 2 - 1 AS v FROM s3 GROUP BY 1, 2),
+ac AS MATERIALIZED (SELECT *, u * u + v * v AS s, row_number() OVER (PARTITION BY seed ORDER BY k) - 1 AS j FROM pr WHERE u * u + v * v > 0 AND u * u + v * v < 1),
+nz AS (SELECT seed, 2 * j AS n, u * sqrt(-2 * ln(s) / s) AS z FROM ac UNION ALL SELECT seed, 2 * j + 1, v * sqrt(-2 * ln(s) / s) FROM ac),
+zz AS MATERIALIZED (SELECT seed, width, n // width AS sim, list(z ORDER BY n) AS z FROM nz JOIN (SELECT DISTINCT seed, width FROM lv) USING (seed) WHERE n < width * {sims} GROUP BY ALL),
+dv AS (SELECT no * {sims} + sim AS rs, run, sim, party_id, bloc, ord, partner, threshold, greatest(0.004, other) AS rest,
+    greatest(0.0002, share + (z[place + 1] * bloc_sd * scale * sqrt(greatest(0.02, bs) / 0.45) + CASE WHEN bloc = 'ASIA' THEN z[{len(REGIONS) + 1}] * 0.006 * 2.5 ELSE 0 END) * share / bs
+    + z[{len(REGIONS) + 1} + slot] * party_sd * greatest(0.35, least(1.8, sqrt(share / 0.1))) * scale) AS raw FROM lv JOIN zz USING (seed, width)),
+dn AS MATERIALIZED (SELECT rs, run, sim, party_id, bloc, ord, partner, threshold, raw / (sum(raw) OVER (PARTITION BY rs) + rest) AS votes FROM dv),
+du AS (SELECT * FROM dn UNION ALL SELECT rs, run, sim, -1, NULL, 1073741824, NULL, threshold, 1 - sum(votes) FROM dn GROUP BY rs, run, sim, threshold),
+{allocation_sql("du", "rs", 120, "threshold", True)},
+dr AS (SELECT dn.rs, dn.run, dn.sim, dn.party_id, bloc, ord, a.share, qualifies, seats FROM alloc a JOIN dn ON a.rs = dn.rs AND a.party_id = dn.party_id)"""
+
+
+def _draw_sql(sims: int = SIMS, days: int = DAYS) -> str:
+    return f"""{SUPPLIED}, {PARTIES}, ct AS (SELECT 0 AS run, party_id, bloc, ord, partner, round(votes / sum(votes) OVER () * 0.97, 8) AS share, 0.03 AS other, 42 AS seed, 0.028 AS bloc_sd, 0.011 AS party_sd, {1 + 0.3 * days / 30} AS scale, 0.0325 AS threshold FROM sv JOIN pt USING (party_id)),
+{draw_runs_sql(sims)}"""
 
 
 DRAWS = _draw_sql()
 
 
-@query("mc_draws", f"WITH {DRAWS} SELECT sim, party_id, round(share, 6) AS share, qualifies, seats FROM dr")
+@query("mc_draws", f"WITH {DRAWS} SELECT sim, party_id, round(share, 6) AS share, qualifies, seats FROM dr WHERE sim < 2000")
 def mc_draws(spark, sf):
-    return simulated(spark, sf).select("sim", "party_id", r6("share").alias("share"), "qualifies", "seats")
+    """The retained sample of all draws."""
+    return montecarlo.retained(simulated(spark, sf)).select("sim", "party_id", r6("share").alias("share"), "qualifies", "seats")
 
 
 @query("mc_summary", f"""WITH {DRAWS}, b AS (SELECT sim, party_id FROM (SELECT sim, party_id, row_number() OVER (PARTITION BY sim ORDER BY seats DESC, ord) AS r FROM dr) WHERE r = 1)
 SELECT dr.party_id, round(avg(seats), 6) AS mean, quantile_cont(seats, 0.5)::DOUBLE AS median, quantile_cont(seats, 0.1)::DOUBLE AS low, quantile_cont(seats, 0.9)::DOUBLE AS high,
   round(avg((seats > 0)::INT), 6) AS p_seats, round(avg((b.party_id = dr.party_id)::INT), 6) AS p_largest FROM dr JOIN b USING (sim) GROUP BY 1""")
 def mc_summary(spark, sf):
-    out = montecarlo.summary(simulated(spark, sf))
+    """Quantiles from seat counts, which add up over pieces of the draws."""
+    out = montecarlo.summary_of_counts(montecarlo.seat_counts(simulated(spark, sf)))
     return out.select("party_id", r6("mean").alias("mean"), "median", "low", "high", r6("p_seats").alias("p_seats"), r6("p_largest").alias("p_largest"))
 
 
@@ -385,11 +412,11 @@ def scenario_rows(spark, sf, rows: DataFrame) -> DataFrame:
 
 @query("pm_outlook", f"""WITH {DRAWS}, s AS (SELECT sim, coalesce(sum(seats) FILTER (bloc = 'AMERICA'), 0) AS a, coalesce(sum(seats) FILTER (bloc = 'ASIA'), 0) AS b, coalesce(sum(seats) FILTER (bloc = 'EUROPE'), 0) AS c FROM dr GROUP BY sim),
 l AS (SELECT sim, party_id FROM (SELECT sim, party_id, row_number() OVER (PARTITION BY sim ORDER BY seats DESC, ord) AS r FROM dr WHERE bloc = 'ASIA') WHERE r = 1),
-o AS (SELECT CASE WHEN a >= 30 THEN '1' WHEN b >= 30 OR b + c >= 30 THEN l.party_id::VARCHAR ELSE 'deadlock' END AS winner, CASE WHEN a >= 30 OR b >= 30 THEN 1.0 WHEN b + c >= 30 THEN 0.45 ELSE 1.0 END AS credit FROM s LEFT JOIN l USING (sim)
-  UNION ALL SELECT 'deadlock', 0.55 FROM s WHERE a < 30 AND b < 30 AND b + c >= 30)
+o AS (SELECT CASE WHEN a >= 61 THEN '1' WHEN b >= 61 OR b + c >= 61 THEN l.party_id::VARCHAR ELSE 'deadlock' END AS winner, CASE WHEN a >= 61 OR b >= 61 THEN 1.0 WHEN b + c >= 61 THEN 0.45 ELSE 1.0 END AS credit FROM s LEFT JOIN l USING (sim)
+  UNION ALL SELECT 'deadlock', 0.55 FROM s WHERE a < 61 AND b < 61 AND b + c >= 61)
 SELECT winner, round(sum(credit)::DOUBLE / {SIMS}, 6) AS probability FROM o GROUP BY winner""")
 def pm_outlook(spark, sf):
-    return montecarlo.outlook(simulated(spark, sf), "AMERICA", 1, "ASIA", "EUROPE", majority=30).select("winner", r6("probability").alias("probability"))
+    return montecarlo.outlook(simulated(spark, sf), "AMERICA", 1, "ASIA", "EUROPE").select("winner", r6("probability").alias("probability"))
 
 
 @query("contribution_sets", f"WITH {PRELUDE} SELECT mode, pollster, grouping(mode, pollster)::BIGINT AS gid, count(*) AS n, round(sum(weight), 4) AS weight FROM w GROUP BY GROUPING SETS ((mode), (pollster), ())")
