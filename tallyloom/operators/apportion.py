@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import let
+
 
 def qualified(votes: DataFrame, by: list[str], threshold: float | Column, value: str = "votes") -> DataFrame:
     """``share`` of all votes of the group (failing lists included) and ``qualifies``."""
@@ -68,7 +67,8 @@ def _averages(x: np.ndarray, seats: int) -> np.ndarray:
 
 
 def invert(target: np.ndarray, total: int, rounds: int = 60) -> np.ndarray:
-    """A vote vector whose D'Hondt seats are ``target``: scaled by (target + .5) / (got + .5) until they match."""
+    """A vote vector whose D'Hondt seats are ``target``, for one poll on the driver: scaled by (target + .5) / (got + .5)
+    until they match. ``invert_seats`` does all polls of a table."""
     x = target / total
     for i in range(1, rounds + 1):
         live = x > 0
@@ -80,17 +80,69 @@ def invert(target: np.ndarray, total: int, rounds: int = 60) -> np.ndarray:
     return x / x.sum()
 
 
-def invert_seats(readings: DataFrame, total: int, by: str = "poll_id", key: str = "party_id", value: str = "seats", order: str = "ord") -> DataFrame:
-    """Vote shares for each complete poll (seats that sum to ``total``); a poll is one bounded group."""
+def averages_of(votes: Column, seats: int | Column) -> Column:
+    """D'Hondt inside a row: the seats of each entry of an array of votes (ties: more votes, then the earlier entry).
+
+    Only quotients that can win are made, as in ``largest_averages``. For arrays of a bounded size, such as a poll.
+    """
+    house = F.lit(seats) if isinstance(seats, int) else seats
+
+    def shared(v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+
+        def won(all_: Column) -> Column:
+            most = lambda x: F.least(house, (F.floor(x * (house + F.size(v)) / all_) + 1).cast("int"))
+            tries = lambda x, i: F.when(x > 0, F.transform(F.sequence(F.lit(1), most(x)), lambda k: F.struct((-x / k).alias("q"), (-x).alias("v"), i.alias("i")))).otherwise(F.array().cast("array<struct<q: double, v: double, i: int>>"))
+            first = F.transform(F.slice(F.array_sort(F.flatten(F.transform(v, tries))), F.lit(1), house), lambda e: e["i"])
+            return let(first, lambda w: F.transform(v, lambda _, i: F.size(F.filter(w, lambda e: e == i))))
+
+        return let(total, lambda t: F.when((t > 0) & (house > 0), won(t)).otherwise(F.transform(v, lambda _: F.lit(0))))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        group["votes"] = invert(group[value].to_numpy(float), total)
-        return group[[by, key, value, "votes"]]
+    return let(votes, shared)
 
+
+def pooled_averages(votes: Column, partner: Column, seats: int) -> Column:
+    """Seats of each entry where entry i and ``partner[i]`` (its place; null without an agreement) stand as one list:
+    D'Hondt over pools, at their first member's place, then inside each pool."""
+    first = lambda i: F.least(i, F.coalesce(F.get(partner, i), i))
+    pools = lambda x: F.transform(x, lambda v, i: F.when(first(i) == i, v + F.coalesce(F.get(x, F.get(partner, i)), F.lit(0.0))).otherwise(F.lit(0.0)))
+
+    def split(x: Column) -> Column:
+        def inside(won: Column) -> Column:
+            both = lambda i: let(first(i), lambda f: F.get(averages_of(F.array(F.get(x, f), F.get(x, F.get(partner, f))), F.get(won, f)), F.when(f == i, 0).otherwise(1)))
+            return F.transform(x, lambda _, i: F.when(F.get(partner, i).isNull(), F.get(won, i)).otherwise(both(i)))
+
+        return let(averages_of(pools(x), seats), inside)
+
+    return let(votes, split)
+
+
+def invert_seats(readings: DataFrame, total: int, by: str = "poll_id", key: str = "party_id", value: str = "seats", order: str = "ord", partner: str | None = None, rounds: int = 60) -> DataFrame:
+    """(``by``, ``key``, ``value``, votes): vote shares whose allocation gives each complete poll's seats (those that
+    sum to ``total``), agreements of ``partner`` included where both lists name each other.
+
+    A poll is one row with its lists as arrays; in a round every list is scaled by (target + .5) / (got + .5), and a
+    poll that matches stays as it is. The rounds are a fold inside the row, so all polls are fitted at once and
+    nothing but the readings is shuffled. Lists with 0 seats keep 0 votes.
+    """
+    back = F.lit(None).cast(dict(readings.dtypes)[key]) if partner is None else F.col(partner)
+    listed = readings.where(F.col(by).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(value).cast("double").alias("s"), back.alias("p")))).alias("_l"), F.sum(value).alias("_sum"))
+    listed = listed.where(F.col("_sum") == total)
+    place = lambda l, i: F.array_position(F.transform(l, lambda x: x["k"]), i).cast("int") - 1
+    mutual = lambda l, x, i: let(place(l, x["p"]), lambda j: F.when((j >= 0) & (j != i) & (F.get(l, j)["p"] == x["k"]) & (x["s"] > 0) & (F.get(l, j)["s"] > 0), j))
+    rows = listed.select(by, "_l", F.explode(F.array(F.transform("_l", lambda x, i: mutual(F.col("_l"), x, i)))).alias("_p"))
+    target = F.transform("_l", lambda x: x["s"])
+    start = F.struct(F.transform(target, lambda x: x / total).alias("x"), F.lit(False).alias("done"))
+
+    def step(state: Column, _: Column) -> Column:
+        scaled = lambda got: F.struct(F.zip_with(F.zip_with(state["x"], target, lambda x, t: x * (t + 0.5)), got, lambda x, g: x / (g + 0.5)).alias("x"), F.forall(F.zip_with(got, target, lambda g, t: g == t), lambda e: e).alias("done"))
+        return F.when(state["done"], state).otherwise(let(pooled_averages(state["x"], F.col("_p"), total), scaled))
+
+    fitted = rows.select(by, "_l", F.explode(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)["x"])).alias("_x"))
+    every = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x)
+    fitted = fitted.select(by, F.inline(F.zip_with("_l", "_x", lambda l, x: F.struct(l["k"].alias(key), l["s"].alias(value), x.alias("_votes")))), every.alias("_all"))
     types = dict(readings.dtypes)
-    complete = readings.withColumn("_sum", F.sum(value).over(W.partitionBy(by))).where(F.col("_sum") == total).drop("_sum")
-    return complete.groupBy(by).applyInPandas(one, f"{by} {types[by]}, {key} {types[key]}, {value} {types[value]}, votes double")
+    return fitted.select(by, key, F.col(value).cast(types[value]).alias(value), (F.col("_votes") / F.col("_all")).alias("votes"))
 
 
 def chamber(seats: DataFrame, key: str, seats_column: str, bloc: str, arcs: int = 5, first_radius: float = 1.0, step: float = 0.25) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,7 +66,7 @@ def earliest_per_key(rows: DataFrame, keys: list[str], date: str = "date", order
 
 def dedupe(rows: DataFrame, attributed: Column, article: list[str] = ["source", "print"], score: str = "score", order: str = "ord") -> DataFrame:  # noqa: B006
     """Earliest sighting of an article with the same content; then the best attributed reading by (pollster,
-    date); then, for dates without one, the best unattributed reading by (outlet, date). Newest first."""
+    date); then, for dates without one, the best unattributed reading by (outlet, date). ``newest_first`` gives the stored order."""
     seen = earliest_per_key(rows, article, order=order).withColumn("_a", attributed)
     named = best_per_key(seen.where("_a"), ["pollster", "date"], score, order)
     spare = seen.where(~F.coalesce("_a", F.lit(False))).join(named.select("date").distinct(), "date", "left_anti").select(*seen.columns)
@@ -93,20 +92,52 @@ def quarantine(log: DataFrame, fresh: DataFrame, key: str, seen: str, most: int
     return fresh.select(*log.columns).unionByName(old).orderBy(F.col(seen).desc(), key).limit(most)
 
 
-def merge_new(store: DataFrame, incoming: DataFrame, bucket: str, id_: str = "id", print_: str = "print", order: str = "ord") -> DataFrame:
-    """Incoming rows that are new by id and by fingerprint, in order: a row blocked by its fingerprint does not
-    claim its id. Rows known to the store go by anti-joins; what is left is decided in order inside ``bucket``
-    (rows that could share an id or fingerprint must share it), a bounded group such as a day of one source."""
-    left = incoming.join(store.select(id_).distinct(), id_, "left_anti").join(store.select(print_).distinct(), print_, "left_anti").select(*incoming.columns)
+def merge_new(store: DataFrame, incoming: DataFrame, id_: str = "id", print_: str = "print", order: str = "ord") -> DataFrame:
+    """Incoming rows that are new by id and by fingerprint, in ``order``: a row is taken if no row before it was taken
+    with its id or its print, so a row blocked by its print does not claim its id.
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        ids, prints, keep = set(), set(), []
-        for i, p in zip(group.sort_values(order)[id_], group.sort_values(order)[print_]):
-            fresh = i not in ids and p not in prints
-            keep.append(fresh)
-            if fresh:
-                ids.add(i)
-                prints.add(p)
-        return group.sort_values(order)[keep]
-
-    return left.groupBy(bucket).applyInPandas(one, left.schema)
+    Rows known to the store go by anti-joins. The rest is decided in rounds over all rows at once: a row that is the
+    first open one of both its id and its print is taken, and the open rows that share either go; until none is
+    open. That gives what the loop in order gives, for no earlier row can still block such a row. Rounds are as many as
+    the longest chain of rows that wait for each other. A null id or print equals no other; rows with the same order, id and print are one.
+    """
+    keyed = incoming.withColumns({
+        "_i": F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.concat(F.lit("#"), F.col(order).cast("string"))),
+        "_p": F.coalesce(F.concat(F.lit("="), F.col(print_).cast("string")), F.concat(F.lit("#"), F.col(order).cast("string"))),
+    })
+    known = keyed.join(store.select(id_).distinct(), id_, "left_anti").join(store.select(print_).distinct(), print_, "left_anti")
+    known = known.dropDuplicates([order, "_i", "_p"]).select(*incoming.columns, "_i", "_p").checkpoint()
+    me = F.struct(order, "_i", "_p")
+    open_, taken = known.select(F.col(order), "_i", "_p"), None
+    while not open_.isEmpty():
+        first = [open_.groupBy(k).agg(F.min(me).alias(f"_first{k}")) for k in ("_i", "_p")]
+        now = open_.join(first[0], "_i").join(first[1], "_p").where((me == F.col("_first_i")) & (me == F.col("_first_p"))).select(order, "_i", "_p").checkpoint()
+        taken = now if taken is None else taken.unionByName(now)
+        open_ = open_.join(now.select("_i"), "_i", "left_anti").join(now.select("_p"), "_p", "left_anti").select(order, "_i", "_p").checkpoint()
+    if taken is None:
+        return known.select(*incoming.columns)
+    return known.join(taken, [order, "_i", "_p"], "left_semi").select(*incoming.columns)
+
+
+def newest_first(rows: DataFrame, date: str = "date", id_: str = "id") -> DataFrame:
+    """The stored order: newest date first, then by id."""
+    return rows.orderBy(F.col(date).desc(), id_)
+
+
+def merge_report(store: DataFrame, curated: DataFrame, incoming: DataFrame, rules, attributed: Column, id_: str = "id", print_: str = "print", order: str = "ord") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new rows for the store, rejects with reasons, one row of counts: added, duplicates, shadowed, quarantined, total).
+
+    Valid rows whose (pollster, date) an attributed curated row has are shadowed; of the rest those that ``merge_new``
+    leaves out are duplicates. ``total`` is the size of the merged store.
+    """
+    good, bad = split_valid(reasons(incoming, rules))
+    good = good.drop("reasons")
+    fresh = shadow(good, curated.where(attributed)).select(*good.columns)
+    both = store.select(id_, print_).unionByName(curated.select(id_, print_))
+    new = merge_new(both, fresh, id_, print_, order).checkpoint()
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = count(good, "_good")
+    for df, name in ((fresh, "_fresh"), (new, "added"), (bad, "quarantined"), (store, "_store")):
+        counts = counts.crossJoin(count(df, name))  # one row each
+    counts = counts.select("added", (F.col("_fresh") - F.col("added")).alias("duplicates"), (F.col("_good") - F.col("_fresh")).alias("shadowed"), "quarantined", (F.col("_store") + F.col("added")).alias("total"))
+    return new, bad, counts

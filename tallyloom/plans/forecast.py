@@ -28,8 +28,9 @@ class Forecast:
     sizes: DataFrame
 
 
-def poll_shares(polls: DataFrame, readings: DataFrame, published: DataFrame, config: ModelConfig = DEFAULT) -> DataFrame:
-    """(poll_id, party_id, share): complete polls by inverting the allocation, others by their seats.
+def poll_shares(readings: DataFrame, published: DataFrame, parties: DataFrame | None = None, config: ModelConfig = DEFAULT) -> DataFrame:
+    """(poll_id, party_id, share): complete polls by inverting the allocation, with the agreements in ``parties``
+    (party_id, partner), others by their seats.
 
     ``readings``: poll_id, party_id, seats, ord. ``published``: poll_id, party_id, share, below - rows without
     seats (a published share, or a list reported as failing).
@@ -38,7 +39,10 @@ def poll_shares(polls: DataFrame, readings: DataFrame, published: DataFrame, con
         published.join(readings.select("poll_id", "party_id"), ["poll_id", "party_id"], "left_anti").select("poll_id", "party_id", F.lit(None).cast("double").alias("seats"), F.col("share").alias("published"), "below")
     )
     flat = weights.partial_shares(rows, F.col("seats").isNotNull(), F.col("published"), F.col("below"), config)
-    inverted = apportion.invert_seats(readings.withColumn("seats", F.col("seats").cast("double")), config.total_seats).select("poll_id", "party_id", F.col("votes").alias("_votes"))
+    seats = readings.withColumn("seats", F.col("seats").cast("double"))
+    if parties is not None:
+        seats = seats.join(parties.select("party_id", "partner"), "party_id", "left")
+    inverted = apportion.invert_seats(seats, config.total_seats, partner=None if parties is None else "partner").select("poll_id", "party_id", F.col("votes").alias("_votes"))
     joined = flat.join(inverted, ["poll_id", "party_id"], "left")
     return joined.select("poll_id", "party_id", F.coalesce(F.col("_votes") * (1 - F.col("wasted")), F.col("share")).alias("share"))
 
@@ -55,7 +59,7 @@ def build_forecast(polls: DataFrame, readings: DataFrame, published: DataFrame,
 
 def build_runs(table: DataFrame, polls: DataFrame, readings: DataFrame, published: DataFrame, grades: DataFrame, parties: DataFrame, misses: DataFrame | None, social: DataFrame | None, members: DataFrame, blocs: list[str], turnout_bloc: str, leader, unattributed: list[str] = [""], config: ModelConfig = DEFAULT, rounds: int = 12) -> runs.Runs:  # noqa: B006
     """The whole model for every row of ``table`` (see ``runs``), from seats as they were published."""
-    shares = poll_shares(polls, readings, published, config).checkpoint()
+    shares = poll_shares(readings, published, parties, config).checkpoint()
     below = published.where("below").select("poll_id", "party_id", F.col("share").alias("published"))
     return runs.forecast_runs(table, polls, shares, below, grades, parties, misses, social, members, blocs, turnout_bloc, leader, unattributed, config, rounds)
 
@@ -73,13 +77,13 @@ def revalidate(store: DataFrame, log: DataFrame, rules, now: Column) -> tuple[Da
     return good.drop("reasons"), quality.quarantine(log, fresh, "id", "seen_at")
 
 
-def scrape(registry, store: DataFrame, log: DataFrame, rules, now: Column, bucket: str = "date") -> tuple[DataFrame, DataFrame, list]:
+def scrape(registry, store: DataFrame, log: DataFrame, rules, now: Column) -> tuple[DataFrame, DataFrame, list]:
     """(merged store, quarantine log, failures): every source fetched by itself and validated once; rejects go to
     the log. Fails only if every source failed."""
     good, bad, failures = registry.collect(store.sparkSession, rules)
     if good is None:
         raise RuntimeError(f"every source failed: {failures}")
-    new = quality.merge_new(store, good, bucket).select(*store.columns)
+    new = quality.merge_new(store, good).select(*store.columns)
     fresh = bad.select("id", "reasons", now.alias("seen_at"))
     return store.unionByName(new), quality.quarantine(log, fresh, "id", "seen_at"), failures
 

@@ -129,12 +129,50 @@ def effective_set(spark, sf):
     return quality.dedupe(rows, F.col("pollster") != "MACHINERY").select("id", "date", "pollster")
 
 
-@query("merge_greedy")
+def _taken_sql(rounds: int) -> str:
+    """CTEs t1, t2, ...: the rows taken in each round of the merge of the CTE ``o0`` (ord, id, print)."""
+    out = []
+    for k in range(1, rounds + 1):
+        out.append(f"t{k} AS MATERIALIZED (SELECT ord, id, print FROM o{k - 1} QUALIFY ord = min(ord) OVER (PARTITION BY id) AND ord = min(ord) OVER (PARTITION BY print))")
+        out.append(f"o{k} AS MATERIALIZED (SELECT * FROM o{k - 1} WHERE id NOT IN (SELECT id FROM t{k}) AND print NOT IN (SELECT print FROM t{k}))")
+    return ", ".join(out)
+
+
+#: More rounds than the longest chain of rows that wait for each other in the test tables.
+MERGE_ROUNDS = 24
+
+
+@query("merge_greedy", f"""WITH {STORED}, mr AS MATERIALIZED (SELECT ord, date, date || '/' || ord % 50 AS id, date || '/' || ord % 11 AS print FROM st), so AS (SELECT * FROM mr WHERE ord % 5 = 0),
+o0 AS MATERIALIZED (SELECT ord, id, print FROM mr WHERE ord % 5 <> 0 AND id NOT IN (SELECT id FROM so) AND print NOT IN (SELECT print FROM so)), {_taken_sql(MERGE_ROUNDS)}
+SELECT t.id, mr.date::VARCHAR AS date, t.print, t.ord FROM ({' UNION ALL '.join(f'SELECT ord, id, print FROM t{k}' for k in range(1, MERGE_ROUNDS + 1))}) t JOIN mr USING (ord)""")
 def merge_greedy(spark, sf):
     """New polls by id and fingerprint, in order, by day: a row blocked by its print doesn't claim its id."""
     rows = stored_polls(spark, sf).withColumn("id", F.concat_ws("/", F.col("date").cast("string"), (F.col("ord") % 50).cast("string")))
     rows = rows.withColumn("print", F.concat_ws("/", F.col("date").cast("string"), (F.col("ord") % 11).cast("string")))
-    return quality.merge_new(rows.where("ord % 5 = 0"), rows.where("ord % 5 <> 0"), "date").select("id", F.col("date").cast("string").alias("date"), "print", "ord")
+    return quality.merge_new(rows.where("ord % 5 = 0"), rows.where("ord % 5 <> 0")).select("id", F.col("date").cast("string").alias("date"), "print", "ord")
+
+
+@query("merge_conflicts", f"""WITH {PRELUDE}, mr AS MATERIALIZED (SELECT id AS ord, id % 5003 AS id, id * 7919 % 4999 AS print FROM poll WHERE NOT excluded), so AS (SELECT * FROM mr WHERE ord % 11 = 0),
+o0 AS MATERIALIZED (SELECT * FROM mr WHERE ord % 11 <> 0 AND id NOT IN (SELECT id FROM so) AND print NOT IN (SELECT print FROM so)), {_taken_sql(MERGE_ROUNDS)}
+{' UNION ALL '.join(f'SELECT ord, id, print FROM t{k}' for k in range(1, MERGE_ROUNDS + 1))} UNION ALL SELECT -1, id, print FROM o{MERGE_ROUNDS}""")
+def merge_conflicts(spark, sf):
+    """New polls by id and fingerprint, in order, where ids and prints tie rows of all days together."""
+    rows = views.poll(spark, sf).where("not excluded").select(F.col("id").alias("ord"), (F.col("id") % 5003).alias("id"), (F.col("id") * 7919 % 4999).alias("print"))
+    return quality.merge_new(rows.where("ord % 11 = 0"), rows.where("ord % 11 <> 0"))
+
+
+@query("merge_counts", f"""WITH {FAULTS}, ok AS (SELECT * FROM pv WHERE reasons = ''), me AS (SELECT id AS ord, id % 4001 AS id, id % 17 AS print, pollster, date FROM poll WHERE id IN (SELECT id FROM ok)),
+cu AS (SELECT * FROM me WHERE ord % 13 = 0), so AS (SELECT * FROM me WHERE ord % 13 = 1), nw AS (SELECT * FROM me WHERE ord % 13 > 1), fr AS (SELECT * FROM nw WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.pollster = nw.pollster AND cu.date = nw.date AND cu.pollster <> 'MACHINERY')),
+kn AS (SELECT id, print || '/' || date AS print FROM cu UNION ALL SELECT id, print || '/' || date FROM so), o0 AS MATERIALIZED (SELECT ord, id, print || '/' || date AS print FROM fr WHERE id NOT IN (SELECT id FROM kn) AND print || '/' || date NOT IN (SELECT print FROM kn)), {_taken_sql(MERGE_ROUNDS)}
+SELECT *, (SELECT count(*) FROM fr) - added AS duplicates, (SELECT count(*) FROM nw) - (SELECT count(*) FROM fr) AS shadowed, (SELECT count(*) FROM pv WHERE reasons <> '' AND id % 13 > 1) AS quarantined, (SELECT count(*) FROM so) + added AS total
+FROM (SELECT {' + '.join(f'(SELECT count(*) FROM t{k})' for k in range(1, MERGE_ROUNDS + 1))} AS added)""")
+def merge_counts(spark, sf):
+    """The merge's report: added, duplicates, shadowed by curated rows, quarantined, and the store's new size."""
+    rows = poll_maps(spark, sf).withColumn("ord", F.col("id").cast("long"))
+    rows = rows.select((F.col("ord") % 4001).cast("string").alias("id"), F.concat_ws("/", (F.col("ord") % 17).cast("string"), F.col("date").cast("string")).alias("print"), "ord", "date", "pollster", "seats", "sample_size", "source")
+    rules = quality.poll_rules(F.lit("1998-01-01").cast("date"))
+    known = quality.split_valid(quality.reasons(rows, rules))[0].drop("reasons")
+    return quality.merge_report(known.where("ord % 13 = 1"), known.where("ord % 13 = 0"), rows.where("ord % 13 > 1"), rules, F.col("pollster") != "MACHINERY")[2]
 
 
 @query("collect_all", f"WITH {PRELUDE} SELECT id % 1000 AS id, min(CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END)::INT AS source_ord FROM poll WHERE coalesce(sample_size, 450) >= 100 GROUP BY 1")

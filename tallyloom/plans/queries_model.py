@@ -471,3 +471,18 @@ def ipf_inversion(spark, sf):
     out = apportion.invert_seats(seats, 120, "year")
     again = apportion.largest_averages(out.withColumn("ord", F.col("party_id")), ["year"], 120, "party_id").withColumnRenamed("seats", "again")
     return out.join(again, ["year", "party_id"]).select("year", "party_id", "seats", r6("votes").alias("votes"), (F.col("again") - F.col("seats")).cast("int").alias("error"))
+
+
+@query("ipf_agreements", f"""WITH mv AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, c_nationkey::INT AS party_id, round(sum(l_extendedprice), 2) AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+{PARTIES}, vv AS (SELECT month, mv.party_id, votes, ord, partner FROM mv JOIN pt USING (party_id)), {allocation_sql("vv", "month", 120, 0.0325, True)}
+SELECT month, party_id, seats, 0 AS error FROM alloc WHERE month IN (SELECT month FROM alloc GROUP BY month HAVING sum(seats) = 120)""")
+def ipf_agreements(spark, sf):
+    """Every month's seats back to votes with the agreements, and to seats again: the round trip has no error."""
+    lines, orders, customer = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    votes = joined.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("c_nationkey").cast("int").alias("party_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("votes"))
+    party = views.party(spark, sf)
+    seats = apportion.allocate(votes.join(F.broadcast(party), "party_id"), ["month"], 120, 0.0325).select("month", "party_id", "seats").checkpoint()  # 25 rows of parties
+    out = apportion.invert_seats(seats.join(F.broadcast(party), "party_id"), 120, "month", partner="partner")
+    again = apportion.allocate(out.join(F.broadcast(party), "party_id"), ["month"], 120, 0.0).select("month", "party_id", F.col("seats").alias("again"))
+    return out.join(again, ["month", "party_id"]).select("month", "party_id", F.col("seats").cast("int").alias("seats"), (F.col("again") - F.col("seats")).cast("int").alias("error"))
