@@ -46,6 +46,8 @@ TOP = 20
 STEP = 3922
 #: About how many (query, term) pairs one block of queries has.
 ENTRIES = 100_000
+#: Pairs of a document and a query that a task scores exactly at once.
+PAIRS = 10_000
 _LAST = 2**63 - 1
 
 
@@ -185,13 +187,15 @@ class Block:
         return out + np.bincount(key, np.repeat(value, size) * self.weight[part], minlength=rows * self.size).reshape(out.shape)
 
     def exact(self, pairs: tuple[np.ndarray, np.ndarray], doc: np.ndarray, column: np.ndarray, impact: np.ndarray) -> np.ndarray:
-        """The integer scores of (document, query) pairs."""
-        d, q = pairs
-        if not len(d) or not len(doc):
-            return np.zeros(len(d), np.int64)
+        """The integer scores of (document, query) pairs, ``PAIRS`` at a time: copies may bring very many."""
+        if not len(pairs[0]) or not len(doc):
+            return np.zeros(len(pairs[0]), np.int64)
         key = doc * len(self.names) + column
         order = np.argsort(key)
         key, impact = key[order], impact[order]
+        return np.concatenate([self._exact(*(p[i : i + PAIRS] for p in pairs), key, impact) for i in range(0, len(pairs[0]), PAIRS)])
+
+    def _exact(self, d: np.ndarray, q: np.ndarray, key: np.ndarray, impact: np.ndarray) -> np.ndarray:
         part = _ranges(self.begin[q], self.begin[q + 1])
         size = self.begin[q + 1] - self.begin[q]
         asked = np.repeat(d, size) * len(self.names) + self.columns[part]
