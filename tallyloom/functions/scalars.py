@@ -55,6 +55,26 @@ def signed(x: Column, digits: int = 1) -> Column:
     return F.concat(F.when(x < 0, "−").when(x > 0, "+").otherwise(""), body)
 
 
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def long_date(day: Column, months: list[str] | None = None) -> Column:
+    """Day, month name and year; ``months`` in any language, for the JVM's locale must not decide."""
+    names = F.array(*[F.lit(m) for m in (months or MONTHS)])
+    return F.concat_ws(" ", F.day(day).cast("string"), F.element_at(names, F.month(day)), F.year(day).cast("string"))
+
+
+def short_date(day: Column, months: list[str] | None = None) -> Column:
+    """Day and month name."""
+    names = F.array(*[F.lit(m) for m in (months or MONTHS)])
+    return F.concat_ws(" ", F.day(day).cast("string"), F.element_at(names, F.month(day)))
+
+
+def days_word(n: Column, one: str = "day", many: str = "days") -> Column:
+    """``1 day``, ``3 days``."""
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once; else each use repeats it, and nested uses multiply."""
     return F.element_at(F.transform(F.array(value), body), 1)

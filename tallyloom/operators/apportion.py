@@ -145,9 +145,19 @@ def invert_seats(readings: DataFrame, total: int, by: str = "poll_id", key: str
     return fitted.select(by, key, F.col(value).cast(types[value]).alias(value), (F.col("_votes") / F.col("_all")).alias("votes"))
 
 
-def chamber(seats: DataFrame, key: str, seats_column: str, bloc: str, arcs: int = 5, first_radius: float = 1.0, step: float = 0.25) -> DataFrame:
-    """Places of a half-round chamber: arcs hold seats in proportion to their radius (the outer one takes the
-    drift), places are ordered by angle and radius, and each party fills a contiguous run of them.
+def with_rest(shares: DataFrame, by: list[str], key: str = "party_id", value: str = "votes", order: str = "ord", partner: str = "partner", rest: object = -1) -> DataFrame:
+    """Shares and a row ``rest`` for what no list has of 1, which counts towards the threshold's denominator."""
+    types = dict(shares.dtypes)
+    left = shares.groupBy(*by).agg(F.greatest(F.lit(0.0), 1 - F.sum(value)).alias(value)).where(F.col(value) > 0)
+    null = lambda c: F.lit(None).cast(types[c]).alias(c)
+    rows = left.select(*by, F.lit(rest).cast(types[key]).alias(key), value, F.lit(1 << 30).cast(types[order]).alias(order), null(partner))
+    return shares.select(*by, key, value, order, partner).unionByName(rows)
+
+
+def chamber(seats: DataFrame, key: str, seats_column: str, bloc: str, arcs: int = 5, first_radius: float = 74.0, step: float = 26.0) -> DataFrame:
+    """Places of a half-round chamber: arcs hold seats in proportion to their radius (at least one; what rounding is off
+    goes by one seat an arc from the outer one inwards), places are ordered by angle and radius, and each party fills a
+    contiguous run of them.
 
     Returns place, arc, angle, ``key``. One small table: a chamber has as many rows as seats.
     """
@@ -156,8 +166,9 @@ def chamber(seats: DataFrame, key: str, seats_column: str, bloc: str, arcs: int
     runs = runs.withColumn("_start", F.col("_end") - F.col(seats_column))
     total = seats.agg(F.sum(seats_column).cast("int").alias("_total"))
     rows = total.select("_total", F.explode(F.sequence(F.lit(0), F.lit(arcs - 1))).alias("arc")).withColumn("_r", F.lit(first_radius) + F.lit(step) * F.col("arc"))
-    rows = rows.withColumn("_n", F.floor(F.col("_total") * F.col("_r") / F.sum("_r").over(every) + 0.5).cast("int"))
-    rows = rows.withColumn("_n", F.col("_n") + F.when(F.col("arc") == arcs - 1, F.col("_total") - F.sum("_n").over(every)).otherwise(0).cast("int"))
+    rows = rows.withColumn("_n", F.greatest(F.lit(1), F.floor(F.col("_total") * F.col("_r") / F.sum("_r").over(every) + 0.5).cast("int")))
+    drift = F.col("_total") - F.sum("_n").over(every)
+    rows = rows.withColumn("_n", F.col("_n") + F.when(F.lit(arcs - 1) - F.col("arc") < F.abs(drift), F.signum(drift.cast("double")).cast("int")).otherwise(0))
     spots = rows.where("_n > 0").select("arc", "_r", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
     spots = spots.withColumn("angle", F.when(F.col("_n") > 1, F.lit(180.0) * F.col("i") / (F.col("_n") - 1)).otherwise(90.0))
     spots = spots.withColumn("place", F.row_number().over(W.orderBy("angle", "_r")) - 1)

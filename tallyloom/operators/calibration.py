@@ -67,6 +67,17 @@ def calibration_totals(groups: DataFrame, adjustments: DataFrame, blocs: list[st
     return sd.crossJoin(moved)  # one row each
 
 
+def panel(adjustments: DataFrame, least: float = 0.05, seats: int = DEFAULT.total_seats) -> DataFrame:
+    """(party_id, moved): the seats that calibration moves to each party, those of ``least`` or more, largest first."""
+    rows = adjustments.select("party_id", (F.col("adjustment") / LISTED_SHARE * seats).alias("moved"))
+    return rows.where(F.abs("moved") >= least).orderBy(F.col("moved").desc(), "party_id")
+
+
+def record(misses: DataFrame) -> DataFrame:
+    """Past misses (actual - polled), newest first."""
+    return misses.select("date", "grp", (F.col("actual") - F.col("polled")).alias("miss"), "confidence").orderBy(F.col("date").desc(), "grp")
+
+
 def momentum(obs: DataFrame, as_of: Column, key: str = "party_id", represent: Column | None = None, enabled: bool = True, config: ModelConfig = DEFAULT, by: tuple[str, ...] = (), cap_pp: Column | None = None) -> DataFrame:
     """Recent against baseline attention, as a clipped change and a capped, centred share adjustment.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import DEFAULT, ModelConfig
@@ -82,3 +82,11 @@ def contributions(weights: DataFrame, first: str, second: str, weight: str = "we
     """Weight by ``first``, by ``second`` and in total, in one pass."""
     grouped = weights.groupingSets([[first], [second], []], first, second)
     return grouped.agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sum(weight).alias("weight"))
+
+
+def legend(weights: DataFrame, sources: DataFrame, outlet: str, kind: str = "kind", weight: str = "weight") -> DataFrame:
+    """``kind``, n, share: how much of all weight the outlets of each kind of source have. ``sources``: ``outlet``, ``kind``;
+    an outlet that isn't there has the kind null."""
+    per = weights.groupBy(outlet).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("_w")).join(sources, outlet, "left")
+    rows = per.groupBy(kind).agg(F.sum("n").alias("n"), F.sum("_w").alias("_w"))
+    return rows.select(kind, "n", (F.col("_w") / F.sum("_w").over(Window.partitionBy())).alias("share"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tallyloom.plans import queries_model as model
 from tallyloom.plans import views
 from tallyloom.plans.queries_model import query
 from tallyloom.plans.views import PRELUDE
-from tallyloom.session import table
+from tallyloom.session import shared_folder, table
 from tallyloom.sources import readers, sinks
 
 DAILY = """dl AS (SELECT ts::DATE AS day, event_type AS k, round(sum(value), 2) AS v FROM events GROUP BY ALL)"""
@@ -185,6 +187,29 @@ def collect_all(spark, sf):
     return good.select("id", "source_ord")
 
 
+@query("store_writeback", f"""WITH {PRELUDE}, so AS (SELECT id, strftime(date, '%Y-%m') AS month, sample_size FROM poll WHERE NOT excluded), nw AS (SELECT id, strftime(date + INTERVAL (id % 3 * 20) DAY, '%Y-%m') AS month, sample_size + 1 AS sample_size FROM poll WHERE id % 2 = 0 AND date >= DATE '1999-01-01')
+SELECT * FROM nw UNION ALL SELECT * FROM so WHERE id NOT IN (SELECT id FROM nw)""")
+def store_writeback(spark, sf):
+    """A store by month, and a batch merged into it twice: rows that changed, that moved to another month, and new ones."""
+    polls = views.poll(spark, sf)
+    month = lambda c: F.date_format(c, "yyyy-MM").alias("month")
+    folder = f"{shared_folder(spark)}/polls-{uuid.uuid4().hex}"
+    sinks.upsert_by_date(polls.where("not excluded").select("id", "sample_size", month("date")), folder, "id", "month")
+    later = F.date_add("date", (F.col("id") % 3 * 20).cast("int"))
+    batch = polls.where("id % 2 = 0 and date >= date'1999-01-01'").select("id", (F.col("sample_size") + 1).alias("sample_size"), month(later))
+    for _ in range(2):
+        sinks.upsert_by_date(batch, folder, "id", "month")
+    return spark.read.schema("id long, sample_size long, month string").parquet(folder)
+
+
+@query("trend_top6", """WITH v AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, c_nationkey::INT AS party_id, round(sum(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+k AS (SELECT party_id FROM v WHERE month = (SELECT max(month) FROM v) ORDER BY value DESC, party_id LIMIT 6) SELECT * FROM v WHERE party_id IN (SELECT party_id FROM k)""")
+def trend_top6(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    points = rows.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("c_nationkey").cast("int").alias("party_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return sinks.top_series(points, 6, "month", "party_id").select("month", "party_id", "value")
+
+
 @query("index_upsert", f"WITH {PRELUDE} SELECT date, CASE WHEN bool_or(id % 2 = 1) THEN 'new' ELSE 'old' END AS headline FROM poll GROUP BY date", ("date",))
 def index_upsert(spark, sf):
     rows = views.poll(spark, sf)
@@ -320,12 +345,12 @@ def report_table(spark, sf):
 
 @query("daily_report")
 def daily_report(spark, sf):
-    """The report over 200 draws; changes are those of the seats against the central allocation."""
+    """The report over all draws; changes are those of the seats against the central allocation."""
     rows = model.simulated(spark, sf).checkpoint()
     parties = montecarlo.summary(rows)
     central = model.apportion.allocate(model.supplier_votes(spark, sf), [], 120, 0.0325)
     changes = report.movement(parties, central.select("party_id", F.col("seats").cast("double").alias("mean")), "party_id", "mean")
-    return report.report(parties, montecarlo.bloc_summary(rows), model.scenario_rows(spark, sf, rows), montecarlo.outlook(rows, "AMERICA", 1, "ASIA", "EUROPE", majority=30), changes)
+    return report.report(parties, montecarlo.bloc_summary(rows), model.scenario_rows(spark, sf, rows), montecarlo.outlook(rows, "AMERICA", 1, "ASIA", "EUROPE"), changes)
 
 
 @query("synthetic_series", """WITH p(party_id, base, drift, mood) AS (VALUES ('aa', 0.2, 0.001, 0.1), ('bbb', 0.1, -0.002, -0.2), ('cccc', 0.05, 0.0, 0.0)), t AS (SELECT range AS t FROM range(30))

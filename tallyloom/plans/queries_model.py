@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import DEFAULT
 from tallyloom.functions.scalars import pct_guard, probability_word
-from tallyloom.operators import apportion, calibration, house, montecarlo, report, weights
+from tallyloom.operators import apportion, calibration, house, montecarlo, report, reporting, weights
 from tallyloom.plans import views
 from tallyloom.plans.views import MODES, PRELUDE
 from tallyloom.session import table
@@ -424,6 +425,40 @@ def contribution_sets(spark, sf):
     return weights.contributions(weighed(spark, sf), "mode", "pollster").withColumn("weight", F.round("weight", 4))
 
 
+#: The outlets' kinds of source; one outlet has none.
+KINDS = {"1-URGENT": "press", "2-HIGH": "press", "3-MEDIUM": "broadcast", "4-NOT SPECIFIED": "archive"}
+
+
+@query("source_legend", f"""WITH {PRELUDE}, kd(mode, kind) AS (VALUES {", ".join(f"('{m}', '{k}')" for m, k in KINDS.items())})
+SELECT kind, count(*) AS n, round(sum(weight) / sum(sum(weight)) OVER (), 6) AS share FROM w LEFT JOIN kd USING (mode) GROUP BY kind""")
+def source_legend(spark, sf):
+    kinds = spark.createDataFrame(list(KINDS.items()), "mode string, kind string")
+    return weights.legend(weighed(spark, sf), kinds, "mode").withColumn("share", r6("share"))
+
+
+@query("calibration_panel", f"""WITH {MISSES}, {SUPPLIED}, {PARTIES}, a AS (
+  SELECT pt.party_id, coalesce(applied * votes / sum(votes) OVER (PARTITION BY bloc), 0) * 0.955 / 120 AS adj FROM sv JOIN pt USING (party_id) LEFT JOIN mz ON bloc = grp), m AS (SELECT party_id, (adj - avg(adj) OVER ()) / 0.955 * 120 AS moved FROM a)
+SELECT party_id, round(moved, 6) AS moved FROM m WHERE abs(moved) >= 0.05""")
+def calibration_panel(spark, sf):
+    groups = calibration.calibrate_groups(misses(spark, sf), REGIONS)
+    rows = calibration.calibrate_parties(groups, supplier_votes(spark, sf).withColumn("strength", F.col("votes")))
+    return calibration.panel(rows).select("party_id", r6("moved").alias("moved"))
+
+
+@query("calibration_record", f"WITH {MISSES} SELECT date, grp, round(m, 6) AS miss, CASE WHEN year(date) % 2 = 0 THEN 'firm' ELSE 'approx' END AS confidence FROM mw", ("date",))
+def calibration_record(spark, sf):
+    return calibration.record(misses(spark, sf)).withColumn("miss", r6("miss"))
+
+
+@query("risk_bands", f"""WITH {DRAWS}, p AS (SELECT party_id, avg((seats > 0)::INT) AS p FROM dr GROUP BY 1), b(band, low, high) AS (VALUES ('report', 0.02, 0.97), ('site', 0.01, 0.999), ('bar', 0.02, 0.97), ('table', 0.02, 0.98))
+SELECT band, party_id, round(p, 6) AS p_seats FROM p JOIN b ON p > low AND p < high""")
+def risk_bands(spark, sf):
+    """The parties at risk by each reader's band."""
+    chances = montecarlo.summary_of_counts(montecarlo.seat_counts(simulated(spark, sf))).checkpoint()
+    bands = [report.at_risk(chances, *band).withColumn("band", F.lit(name)) for name, band in reporting.RISK_BANDS.items()]
+    return functools.reduce(DataFrame.unionByName, bands).select("band", "party_id", r6("p_seats").alias("p_seats"))
+
+
 @query("top_effects", f"""WITH {PRELUDE}, e AS (SELECT pollster, party_id, round(avg(seats), 6) - 25 AS effect FROM reading JOIN poll ON poll_id = id GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pollster ORDER BY abs(effect) DESC, party_id) AS rank FROM e) WHERE rank <= 5""")
 def top_effects(spark, sf):
@@ -439,9 +474,20 @@ def guarded(spark, sf):
     return rows.select("doc_id", pct_guard(F.col("p")).alias("text"), probability_word(F.col("p")).alias("word"))
 
 
-@query("chamber_layout")
+@query("chamber_layout", f"""WITH {SUPPLIED}, {PARTIES}, cs AS (SELECT sv.party_id, votes / sum(votes) OVER () * 0.97 AS votes, ord, partner FROM sv JOIN pt USING (party_id)),
+vv AS (SELECT * FROM cs UNION ALL SELECT -1, 1 - sum(votes), 1073741824, NULL FROM cs), {allocation_sql("vv", "", 120, 0.0325)},
+wn AS (SELECT a.party_id, bloc, seats, sum(seats) OVER (ORDER BY bloc, seats DESC, a.party_id ROWS UNBOUNDED PRECEDING) AS stop FROM alloc a JOIN pt USING (party_id) WHERE seats > 0),
+ar AS (SELECT arc, 74 + 26.0::DOUBLE * arc AS r, (SELECT sum(seats) FROM wn) AS total FROM range(5) t(arc)),
+ro AS (SELECT *, greatest(1, floor(total * r / sum(r) OVER () + 0.5))::INT AS n0 FROM ar),
+rs AS (SELECT *, (n0 + CASE WHEN 4 - arc < abs(total - sum(n0) OVER ()) THEN sign(total - sum(n0) OVER ()) ELSE 0 END)::INT AS n FROM ro),
+sp AS (SELECT arc::INT AS arc, r, CASE WHEN n > 1 THEN 180.0::DOUBLE * i / (n - 1) ELSE 90.0 END AS angle FROM (SELECT *, unnest(range(n)) AS i FROM rs)),
+pl AS (SELECT *, (row_number() OVER (ORDER BY angle, r) - 1)::INT AS place FROM sp)
+SELECT place, arc, round(angle, 6) AS angle, party_id FROM pl JOIN wn ON place >= stop - seats AND place < stop""")
 def chamber_layout(spark, sf):
-    won = apportion.allocate(supplier_votes(spark, sf), [], 120, 0.0325).join(views.party(spark, sf).select("party_id", "bloc"), "party_id")
+    """The chamber of the central shares, with what no list has as a list of its own."""
+    votes = supplier_votes(spark, sf)
+    shares = votes.withColumn("votes", F.col("votes") / F.sum("votes").over(W.partitionBy()) * 0.97)
+    won = apportion.allocate(apportion.with_rest(shares, []), [], 120, 0.0325).join(views.party(spark, sf).select("party_id", "bloc"), "party_id")
     return apportion.chamber(won, "party_id", "seats", "bloc")
 
 

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.config import DEFAULT
-from tallyloom.operators import montecarlo
+from tallyloom.operators import montecarlo, reporting
 from tallyloom.plans import runs, views
 from tallyloom.plans.queries_model import MISSES, REGIONS, draw_runs_sql, misses, query, r6
 from tallyloom.plans.views import MODES, PRELUDE
-from tallyloom.session import table
+from tallyloom.session import shared_folder, table
+from tallyloom.sources.sinks import SnapshotStore
 
 #: The knobs one by one, at both ends of their range, and together.
 KNOBS: dict[str, dict] = {
@@ -135,3 +137,51 @@ def backfill(spark, sf):
     seats = montecarlo.summary(rows, by=("run",))
     out = central.select("run", "party_id", "share", "poll_share", "trend14d").join(seats, ["run", "party_id"])
     return out.select(F.col("run").alias("as_of"), "party_id", "share", r6("poll_share").alias("poll_share"), (r6("trend14d") + 0.0).alias("trend14d"), *[r6(c).alias(c) for c in ("mean", "p_seats")])
+
+
+def month(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(central, party summaries, bloc summaries) of every day of the month."""
+    polls, shares, last = inputs(spark, sf)
+    central, rows = drawn(spark, sf, runs.day_table(spark, last, MONTH, True), polls, shares, last, MONTH_SIMS, attention(spark, sf, last))
+    rows = rows.checkpoint()
+    return central, montecarlo.summary(rows, by=("run",)), montecarlo.bloc_summary(rows, by=("run",))
+
+
+def _text_sql(x: str) -> str:
+    return f"regexp_replace(printf('%.1f', round({x}, 1)), '\\.0$', '')"
+
+
+@query("headlines", f"""WITH {BACKFILL}, su AS (SELECT run, party_id, avg(seats) AS mean FROM dr GROUP BY ALL),
+rk AS (SELECT run, name, mean, row_number() OVER (PARTITION BY run ORDER BY mean DESC, ord) AS r FROM su JOIN party USING (party_id)),
+tw AS (SELECT a.run, a.name AS a, b.name AS b, a.mean AS x, b.mean AS y FROM rk a JOIN rk b ON a.run = b.run AND a.r = 1 AND b.r = 2)
+SELECT run AS date, CASE WHEN x - y < 1 THEN a || ' and ' || b || ' are level, ' || {_text_sql("x")} || ' to ' || {_text_sql("y")} || ' seats' ELSE a || ' leads with ' || {_text_sql("x")} || ' seats, ' || {_text_sql("x - y")} || ' before ' || b END AS headline FROM tw""")
+def headlines(spark, sf):
+    """Each day's headline: the index of the archive."""
+    return reporting.headlines(month(spark, sf)[1], views.party(spark, sf)).select(F.col("run").alias("date"), "headline")
+
+
+@query("snapshot_trend", f"""WITH {BACKFILL}, su AS (SELECT run, party_id, avg(seats) AS mean FROM dr GROUP BY ALL), bs AS (SELECT run, sim, bloc, sum(seats) AS seats FROM dr GROUP BY ALL)
+SELECT run AS as_of, 'party' AS kind, party_id::VARCHAR AS key, round(mean, 2) AS value FROM su UNION ALL SELECT run, 'bloc', bloc, round(avg(seats), 2) FROM bs GROUP BY run, bloc""")
+def snapshot_trend(spark, sf):
+    """Every day's document written, read back, and the trend made from what was read."""
+    central, parties, blocs = month(spark, sf)
+    lists = lambda df, name, *columns: df.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    documents = lists(parties, "parties", "party_id", "mean", "p_seats").join(lists(blocs, "blocs", "bloc", "mean", "p_majority"), "run").withColumnRenamed("run", "as_of")
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    store.write(documents)
+    return store.trend().select("as_of", "kind", "key", "value")
+
+
+@query("headline_strip", f"""WITH {GRID}, su AS (SELECT run, party_id, avg(seats) AS mean FROM dr GROUP BY ALL), bs AS (SELECT run, sim, bloc, sum(seats) AS seats FROM dr GROUP BY ALL), bm AS (SELECT run, bloc, avg(seats) AS mean FROM bs GROUP BY ALL),
+pg AS (SELECT run, list(mean ORDER BY mean DESC) AS l FROM su GROUP BY run), bg AS (SELECT run, list(mean ORDER BY mean DESC) AS l FROM bm GROUP BY run), sc AS (SELECT run, max(scale) AS scale FROM ct GROUP BY run)
+SELECT run, round((scale - 1) * 100, 4) AS inflation_pct, round(pg.l[1] - pg.l[2], 6) AS party_gap, round(bg.l[1] - bg.l[2], 6) AS bloc_gap FROM sc JOIN pg USING (run) JOIN bg USING (run)""")
+def headline_strip(spark, sf):
+    """Each configuration's strip: how much the distance inflates errors, and the gaps of the first two parties and blocs."""
+    polls, shares, last = inputs(spark, sf)
+    central, rows = drawn(spark, sf, runs.run_table(spark, KNOBS, last), polls, shares, last, GRID_SIMS, attention(spark, sf, last))
+    rows = rows.checkpoint()
+    gap = lambda df, name: df.groupBy("run").agg(F.sort_array(F.collect_list("mean"), False).alias("l")).select("run", (F.get("l", F.lit(0)) - F.get("l", F.lit(1))).alias(name))  # noqa: E731  a party or bloc a row
+    by = ("run",)
+    out = central.groupBy("run").agg(((F.max("scale") - 1) * 100).alias("inflation_pct"))
+    out = out.join(gap(montecarlo.summary_of_counts(montecarlo.seat_counts(rows, by=by), by=by), "party_gap"), "run").join(gap(montecarlo.bloc_summary(rows, by=by), "bloc_gap"), "run")
+    return out.select("run", F.round("inflation_pct", 4).alias("inflation_pct"), r6("party_gap").alias("party_gap"), r6("bloc_gap").alias("bloc_gap"))
