@@ -267,11 +267,10 @@ def search(index: Index, queries: DataFrame, k: int = TOP, terms: DataFrame | No
     kind = queries.schema["item_id"].dataType.simpleString()
     found = None
     for number in range(blocks):
-        mine = entries_.where(F.col("block") == number).select("item", "item_id", "term", "weight", "df").toPandas()  # about ``entries`` rows
+        mine = entries_.where(F.col("block") == number).select("item", "term", "weight", "df").toPandas()  # about ``entries`` rows
         if mine.empty:
             continue
         items, query = np.unique(mine["item"].to_numpy(np.int64), return_inverse=True)
-        ids = mine.drop_duplicates("item").sort_values("item")["item_id"].tolist()
         shared = spark.sparkContext.broadcast(Block(query, mine["term"].to_numpy(np.int64), mine["weight"].to_numpy(np.int64), mine["df"].to_numpy(np.int64), index.documents))
         bounds = index.rows.select("terms", "impact").mapInArrow(_lower(shared, k), "query int, bound double")
         order = W.partitionBy("query").orderBy(F.col("bound").desc())
@@ -281,7 +280,8 @@ def search(index: Index, queries: DataFrame, k: int = TOP, terms: DataFrame | No
         best = index.rows.select("doc_id", "m", "terms", "impact", "tf").mapInArrow(_best(shared, kth, k), "query int, score long, doc_id long")
         order = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
         ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        named = spark.createDataFrame(list(enumerate(None if x is None or x != x else x for x in ids)), f"query int, item_id {kind}")
+        numbers = spark.createDataFrame(list(enumerate(items.tolist())), "query int, item long")
+        named = entries_.select("item", "item_id").distinct().join(numbers, "item")
         part = written(ranked.join(named, "query").select("item_id", "rank", "doc_id", "score"), "rank-results")
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long") if found is None else found
