@@ -83,34 +83,50 @@ def invert(target: np.ndarray, total: int, rounds: int = 60) -> np.ndarray:
 def averages_of(votes: Column, seats: int | Column) -> Column:
     """D'Hondt inside a row: the seats of each entry of an array of votes (ties: more votes, then the earlier entry).
 
-    Only quotients that can win are made, as in ``largest_averages``. For arrays of a bounded size, such as a poll.
+    Every entry has at least its quota, rounded down; only the quotients that can win one of the seats that are left
+    are ranked, about three an entry. For arrays of a bounded size, such as a poll or a draw.
     """
     house = F.lit(seats) if isinstance(seats, int) else seats
 
+    def won(v: Column, all_: Column) -> Column:
+        # A hair is taken off, so that a rounding error of the quota never gives a seat too many.
+        sure = F.transform(v, lambda x: F.greatest(F.lit(0), F.floor(x * house / all_ - 1e-9).cast("int")))
+
+        def more(base: Column) -> Column:
+            least = lambda x: F.least(house, (F.floor(x * (house + F.size(v)) / all_) + 1).cast("int"))
+            one = lambda x, i, k: F.struct((-x / k).alias("q"), (-x).alias("v"), i.alias("i"))
+            tries = lambda x, i: F.when((x > 0) & (least(x) > F.get(base, i)), F.transform(F.sequence(F.get(base, i) + 1, least(x)), lambda k: one(x, i, k))).otherwise(F.array().cast("array<struct<q: double, v: double, i: int>>"))
+            left = house - F.aggregate(base, F.lit(0), lambda a, x: a + x)
+            first = F.transform(F.slice(F.array_sort(F.flatten(F.transform(v, tries))), F.lit(1), left), lambda e: e["i"])
+            return let(first, lambda w: F.transform(base, lambda x, i: x + F.size(F.filter(w, lambda e: e == i))))
+
+        return let(sure, more)
+
     def shared(v: Column) -> Column:
         total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.when((t > 0) & (house > 0), won(v, t)).otherwise(F.transform(v, lambda _: F.lit(0))))
 
-        def won(all_: Column) -> Column:
-            most = lambda x: F.least(house, (F.floor(x * (house + F.size(v)) / all_) + 1).cast("int"))
-            tries = lambda x, i: F.when(x > 0, F.transform(F.sequence(F.lit(1), most(x)), lambda k: F.struct((-x / k).alias("q"), (-x).alias("v"), i.alias("i")))).otherwise(F.array().cast("array<struct<q: double, v: double, i: int>>"))
-            first = F.transform(F.slice(F.array_sort(F.flatten(F.transform(v, tries))), F.lit(1), house), lambda e: e["i"])
-            return let(first, lambda w: F.transform(v, lambda _, i: F.size(F.filter(w, lambda e: e == i))))
+    return let(votes, shared)
 
-        return let(total, lambda t: F.when((t > 0) & (house > 0), won(t)).otherwise(F.transform(v, lambda _: F.lit(0))))
 
-    return let(votes, shared)
+def first_of_two(a: Column, b: Column, seats: Column) -> Column:
+    """The seats of the first of two lists by D'Hondt: it has k or more if its k-th quotient comes before the other's
+    that would then be too many (ties: more votes, then the first)."""
+    ahead = lambda x, y: (x > y) | ((x == y) & (a >= b))
+    ranks = F.when(seats > 0, F.sequence(F.lit(1), seats)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(ranks, lambda k: ahead(a / k, b / (seats - k + 1))))
 
 
 def pooled_averages(votes: Column, partner: Column, seats: int) -> Column:
     """Seats of each entry where entry i and ``partner[i]`` (its place; null without an agreement) stand as one list:
     D'Hondt over pools, at their first member's place, then inside each pool."""
-    first = lambda i: F.least(i, F.coalesce(F.get(partner, i), i))
-    pools = lambda x: F.transform(x, lambda v, i: F.when(first(i) == i, v + F.coalesce(F.get(x, F.get(partner, i)), F.lit(0.0))).otherwise(F.lit(0.0)))
+    second = lambda i: F.coalesce(F.get(partner, i) < i, F.lit(False))
+    pools = lambda x: F.transform(x, lambda v, i: F.when(second(i), F.lit(0.0)).otherwise(v + F.coalesce(F.get(x, F.get(partner, i)), F.lit(0.0))))
 
     def split(x: Column) -> Column:
         def inside(won: Column) -> Column:
-            both = lambda i: let(first(i), lambda f: F.get(averages_of(F.array(F.get(x, f), F.get(x, F.get(partner, f))), F.get(won, f)), F.when(f == i, 0).otherwise(1)))
-            return F.transform(x, lambda _, i: F.when(F.get(partner, i).isNull(), F.get(won, i)).otherwise(both(i)))
+            mine = lambda v, i: F.when(F.get(partner, i).isNull(), F.get(won, i)).when(second(i), 0).otherwise(first_of_two(v, F.get(x, F.get(partner, i)), F.get(won, i)))
+            return let(F.transform(x, mine), lambda m: F.transform(m, lambda n, i: F.when(second(i), F.get(won, F.get(partner, i)) - F.get(m, F.get(partner, i))).otherwise(n)))
 
         return let(averages_of(pools(x), seats), inside)
 

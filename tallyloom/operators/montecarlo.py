@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.config import DEFAULT, ModelConfig
-from tallyloom.functions.scalars import time_multiplier, uniform
-from tallyloom.operators.apportion import allocate
+from tallyloom.functions.scalars import let, time_multiplier, uniform
+from tallyloom.operators.apportion import averages_of, pooled_averages
 
 BLOCK = 4096
+DRAWS_A_TASK = 20_000
 
 
 def uniforms(spark: SparkSession, seed: int, n: int) -> DataFrame:
@@ -67,12 +68,15 @@ def draw_runs(shares: DataFrame, by: list[str], simulations: int, blocs: list[st
     turnout and parties, and allocates the house. Normals of a draw are, in order: one for each bloc, the turnout,
     one for each party with a share by ``ord``; so the index of every normal is known, draws are independent rows, and
     runs with the same seed and parties see the same normals (common random numbers). A draw is one row until its
-    votes are normalised, so nothing but the normals is shuffled before the allocation.
+    seats are known, for its lists are few: nothing but the normals is shuffled.
     """
     live = shares.where("share > 0").withColumn("bloc_share", F.sum("share").over(W.partitionBy(*by, "bloc")))
     live = live.withColumn("place", (F.array_position(F.array(*[F.lit(b) for b in blocs]), F.col("bloc")) - 1).cast("int"))
     settings = ["seed", "other", "bloc_sd", "party_sd", "scale", "threshold"]
-    lists = F.array_sort(F.collect_list(F.struct("ord", "party_id", "bloc", "partner", "share", "bloc_share", "place")))
+    listed = F.array_sort(F.collect_list(F.struct("ord", "party_id", "bloc", "partner", "share", "bloc_share", "place")))
+    at = lambda l, key: F.array_position(F.transform(l, lambda x: x["party_id"]), key).cast("int") - 1
+    mate = lambda l, p, i: let(at(l, p["partner"]), lambda j: F.when((j >= 0) & (j != i) & (F.get(l, j)["partner"] == p["party_id"]), j))
+    lists = let(listed, lambda l: F.transform(l, lambda p, i: F.struct(*[p[c].alias(c) for c in ("ord", "party_id", "bloc", "share", "bloc_share", "place")], mate(l, p, i).alias("mate"))))
     runs = live.groupBy(*by).agg(*[F.first(c).alias(c) for c in settings], lists.alias("lists")).withColumn("width", F.size("lists") + len(blocs) + 1).checkpoint()  # a row a run
     most = runs.agg(F.max("width")).first()[0]
     if most is None:
@@ -80,7 +84,9 @@ def draw_runs(shares: DataFrame, by: list[str], simulations: int, blocs: list[st
     z = normals_of(runs.select("seed").distinct(), simulations * most).join(F.broadcast(runs.select("seed", "width").distinct()), "seed")  # a row a run at most
     z = z.select("seed", "width", F.floor(F.col("n") / F.col("width")).alias("sim"), (F.col("n") % F.col("width")).alias("k"), "z").where(F.col("sim") < simulations)
     per = z.groupBy("seed", "width", "sim").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda x: x["z"]).alias("z"))
-    rows = per.join(F.broadcast(runs), ["seed", "width"])  # a row a run
+    # A draw is few bytes and much work: tasks are dealt by the number of draws, not by bytes.
+    tasks = max(shares.sparkSession.sparkContext.defaultParallelism, simulations * runs.count() // DRAWS_A_TASK)
+    rows = per.repartition(tasks).join(F.broadcast(runs), ["seed", "width"])  # a row a run
 
     def votes(p: Column, i: Column) -> Column:
         shock = F.get("z", p["place"]) * F.col("bloc_sd") * F.col("scale") * F.sqrt(F.greatest(F.lit(0.02), p["bloc_share"]) / 0.45)
@@ -89,19 +95,23 @@ def draw_runs(shares: DataFrame, by: list[str], simulations: int, blocs: list[st
         own = F.get("z", i + len(blocs) + 1) * F.col("party_sd") * size * F.col("scale")
         return F.greatest(F.lit(0.0002), p["share"] + shock * p["share"] / p["bloc_share"] + own)
 
+    # What is in no list is a list of its own, the last one, so that it counts towards the threshold's denominator.
     rest = F.greatest(F.lit(0.004), F.col("other"))
-    drawn = rows.select(*by, "sim", "lists", "threshold", rest.alias("_rest"), F.explode(F.array(F.transform("lists", votes))).alias("_votes"))
-    total = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x) + F.col("_rest")
-    drawn = drawn.select(*by, "sim", "lists", "threshold", "_votes", "_rest", F.explode(F.array(total)).alias("_all"))
-    types = dict(shares.dtypes)
-    # What is in no list is a list of its own, so that it counts towards the threshold's denominator.
-    nobody = F.struct(F.lit(1 << 30).cast(types["ord"]).alias("ord"), F.lit(-1).cast(types["party_id"]).alias("party_id"), F.lit(None).cast("string").alias("bloc"), F.lit(None).cast(types["partner"]).alias("partner"), (F.col("_rest") / F.col("_all")).alias("votes"))
-    each = F.zip_with("lists", "_votes", lambda p, v: F.struct(p["ord"].alias("ord"), p["party_id"].alias("party_id"), p["bloc"].alias("bloc"), p["partner"].alias("partner"), (v / F.col("_all")).alias("votes")))
-    rows = drawn.select(*by, "sim", "threshold", F.inline(F.concat(each, F.array(nobody)))).checkpoint()  # allocation reads the draws several times
-    won = allocate(rows, [*by, "sim"], config.total_seats, F.col("threshold"), partner="partner" if agreements else None)
-    names = shares.select(*by, "party_id", "bloc", "ord").distinct()
-    won = won.join(F.broadcast(names), [*by, "party_id"])  # a row a run and party
-    return won.select(*by, "sim", "party_id", "bloc", "ord", "share", "qualifies", "seats")
+    drawn = rows.select(*by, "sim", "lists", "threshold", F.explode(F.array(F.concat(F.transform("lists", votes), F.array(rest)))).alias("_votes"))
+    share = let(F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x), lambda total: F.transform("_votes", lambda v: v / total))
+    drawn = drawn.select(*by, "sim", "lists", "threshold", F.explode(F.array(share)).alias("_share"))
+    passed = F.transform("_share", lambda v: F.when((v >= F.col("threshold")) & (v > 0), v).otherwise(F.lit(0.0)))
+    drawn = drawn.select("*", F.explode(F.array(passed)).alias("_passed"))
+    if agreements:
+        # An agreement needs both lists to name each other and to pass.
+        standing = lambda i, j: F.when((F.get("_passed", i) > 0) & (F.get("_passed", j) > 0), j)
+        drawn = drawn.select("*", F.explode(F.array(F.transform("lists", lambda p, i: standing(i, p["mate"])))).alias("_mates"))
+        seats = pooled_averages(F.col("_passed"), F.col("_mates"), config.total_seats)
+    else:
+        seats = averages_of(F.col("_passed"), config.total_seats)
+    drawn = drawn.select(*by, "sim", "lists", "_share", "_passed", F.explode(F.array(seats)).alias("_seats"))
+    each = F.transform("lists", lambda p, i: F.struct(p["party_id"].alias("party_id"), p["bloc"].alias("bloc"), p["ord"].alias("ord"), F.get("_share", i).alias("share"), (F.get("_passed", i) > 0).alias("qualifies"), F.get("_seats", i).alias("seats")))
+    return drawn.select(*by, "sim", F.inline(each))
 
 
 def retained(rows: DataFrame, most: int = 2000) -> DataFrame:

@@ -1,11 +1,14 @@
 """Party names and seats in Hebrew text, addresses of links, polls out of tables and articles."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars
 from tallyloom.operators import pollpages, textops
-from tallyloom.operators.mentions import Names, mentions, read_polls
+from tallyloom.operators.mentions import ADVERB_VERBS, ADVERBS, GLUED, Names, alias_table, mentions, read_polls
 
 ALIASES = [
     ("הליכוד", "likud"), ("ליכוד", "likud"), ("ישר", "yashar"), ("ביחד", "byachad"), ("בנט ולפיד", "byachad"), ("לפיד ובנט", "byachad"), ("הדמוקרטים", "democrats"),
@@ -111,3 +114,45 @@ def test_hash_of_units(spark):
 def test_entities_keep_low_bits(spark):
     got = spark.createDataFrame([("a&#1488;b&#65;&#65601;",)], "h string").select(textops.strip_html(F.col("h")).alias("t")).first().t
     assert got == "aאbAA"
+
+
+def slow_spans(text, aliases):
+    """Every name at every place, long ones first, each if its neighbours allow it and no better one has its letters."""
+    before, after = r"[\s,.:;()א-ת]", r"[\s,.:;()\-–—0-9]"
+    hits = []
+    for rank, (name, party) in enumerate(sorted(aliases, key=lambda a: -len(a[0]))):
+        for at in range(len(text)):
+            end = at + len(name)
+            word = text[:at].rsplit(" ", 1)[-1]
+            if text[at:end] == name and (at == 0 or re.match(before, text[at - 1])) and (end == len(text) or re.match(after, text[end])) and (len(word) <= 2 or word in GLUED):
+                hits.append((rank, at, end, name, party))
+    kept = []
+    for _, at, end, name, party in sorted(hits):
+        if any(a < end and at < b for a, b, _ in kept):
+            continue
+        clause = re.split(r"[.,;|]", text[:at])[-1]
+        if name in ADVERBS and (re.search(rf"({ADVERB_VERBS})\s*$", clause) or any(at - len(clause) <= a < at for a, _, _ in kept)):
+            continue
+        kept.append((at, end, party))
+    return sorted(kept)
+
+
+def test_names_against_all_places():
+    rng = random.Random(8)
+    names = Names(tuple(ALIASES))
+    automaton = names.automaton()
+    pieces = [a for a, _ in ALIASES] + ["ו", "ש", "כשה", "ב", " ", ", ", ". ", "24", " מנדטים", "רצות ", "מצטרפים", "abc", "-", "|", "בינוני"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25)))
+        assert names.spans(text, automaton) == slow_spans(text, ALIASES), text
+    assert Names(()).spans("הליכוד") == [] and names.spans("") == []
+
+
+def test_aliases_of_a_table(spark):
+    """Names come out of the table of spellings: normalised, and none that two parties share."""
+    spellings = spark.createDataFrame([("likud", "הליכוד"), ("shas", 'ש"ס'), ("a", "כולנו"), ("b", "כולנו"), ("utj", "יהדות-התורה"), ("utj", "יהדות התורה"), ("x", "")], "party_id string, text string")
+    table = alias_table(spellings)
+    assert dict(Names.of(table).aliases) == {"הליכוד": "likud", "שס": "shas", "יהדות התורה": "utj"}
+    rows = spark.createDataFrame([(1, 'הליכוד 24, ש"ס 7, כולנו 9, יהדות התורה 8'), (2, None)], "i int, text string")
+    got = {r.i: [(m.party_id, m.seats) for m in r.mentions] for r in mentions(rows, "text", spellings).collect()}
+    assert got == {1: [("likud", 24), ("shas", 7), ("utj", 8)], 2: []}
