@@ -92,7 +92,7 @@ def quarantine(log: DataFrame, fresh: DataFrame, key: str, seen: str, most: int
     return fresh.select(*log.columns).unionByName(old).orderBy(F.col(seen).desc(), key).limit(most)
 
 
-def merge_new(store: DataFrame, incoming: DataFrame, id_: str = "id", print_: str = "print", order: str = "ord") -> DataFrame:
+def merge_new(store: DataFrame, incoming: DataFrame, within: str | None = None, id_: str = "id", print_: str = "print", order: str = "ord") -> DataFrame:
     """Incoming rows that are new by id and by fingerprint, in ``order``: a row is taken if no row before it was taken
     with its id or its print, so a row blocked by its print does not claim its id.
 
@@ -100,11 +100,11 @@ def merge_new(store: DataFrame, incoming: DataFrame, id_: str = "id", print_: st
     first open one of both its id and its print is taken, and the open rows that share either go; until none is
     open. That gives what the loop in order gives, for no earlier row can still block such a row. Rounds are as many as
     the longest chain of rows that wait for each other. A null id or print equals no other; rows with the same order, id and print are one.
+    Ids and prints count for all rows, or, with the column ``within``, among the incoming rows that are equal in it.
     """
-    keyed = incoming.withColumns({
-        "_i": F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.concat(F.lit("#"), F.col(order).cast("string"))),
-        "_p": F.coalesce(F.concat(F.lit("="), F.col(print_).cast("string")), F.concat(F.lit("#"), F.col(order).cast("string"))),
-    })
+    part = F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))
+    name = lambda c: F.coalesce(F.concat(part, F.lit("="), F.col(c).cast("string")), F.concat(part, F.lit("#"), F.col(order).cast("string")))
+    keyed = incoming.withColumns({"_i": name(id_), "_p": name(print_)})
     known = keyed.join(store.select(id_).distinct(), id_, "left_anti").join(store.select(print_).distinct(), print_, "left_anti")
     known = known.dropDuplicates([order, "_i", "_p"]).select(*incoming.columns, "_i", "_p").checkpoint()
     me = F.struct(order, "_i", "_p")
@@ -134,7 +134,7 @@ def merge_report(store: DataFrame, curated: DataFrame, incoming: DataFrame, rule
     good = good.drop("reasons")
     fresh = shadow(good, curated.where(attributed)).select(*good.columns)
     both = store.select(id_, print_).unionByName(curated.select(id_, print_))
-    new = merge_new(both, fresh, id_, print_, order).checkpoint()
+    new = merge_new(both, fresh, None, id_, print_, order).checkpoint()
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     counts = count(good, "_good")
     for df, name in ((fresh, "_fresh"), (new, "added"), (bad, "quarantined"), (store, "_store")):
