@@ -4,7 +4,8 @@ All rolling word k-grams of all documents are hashed and joined to the k-grams o
 word ``i`` of the document and ``j`` of a template votes for the diagonal ``i - j``. Votes are counted by
 (document, template, diagonal); diagonals at most ``MERGE`` apart, whose words touch, become one span (words
 inserted or left out shift the diagonal); a span is verified when the template words it covers are enough, and
-dense enough within it.
+dense enough within it. Of verified spans over the same words only the one that covers most stays, for licenses share
+paragraphs.
 
 One pass over the texts finds the words, the places of the base phrases, and the k-grams whose bit is set in a map of
 the templates' k-grams (2 ** MAP_BITS bits, whatever their number; it lets a few others through). Only these are
@@ -127,13 +128,21 @@ def template_spans(rows: DataFrame, grams: DataFrame, k: int = K) -> DataFrame:
     return spans.where(enough & (F.col("density") >= LEAST_DENSITY))
 
 
+def _better(t: Column, s: Column) -> Column:
+    """Whether span ``t`` says more about the words of ``s``: it has over half of them, and covers more words of its
+    template (or as many, of a shorter one). Licenses share paragraphs; the one that fits them best is named."""
+    shared = F.least(t["last_word"], s["last_word"]) - F.greatest(t["first_word"], s["first_word"])
+    more = (t["covered"] > s["covered"]) | ((t["covered"] == s["covered"]) & (t["cover"] > s["cover"]))
+    return (2 * shared > s["last_word"] - s["first_word"]) & more
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, k: int = K) -> DataFrame:
     """One row for each document: doc_id, n_words, base (places), spans (verified), score."""
     grams = template_grams(template_table(docs.sparkSession) if templates is None else templates, k)
     rows = scanned(docs, grams, k)
-    spans = template_spans(rows, grams, k).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("label", "first_word", "last_word", "cover"))).alias("spans"), F.max("cover").alias("best")
-    )
+    spans = template_spans(rows, grams, k).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("label", "first_word", "last_word", "cover", "covered"))).alias("spans"))
+    spans = spans.select("row", F.filter("spans", lambda s: ~F.exists("spans", lambda t: _better(t, s))).alias("spans"))
+    spans = spans.withColumn("best", F.array_max(F.transform("spans", lambda s: s["cover"])))
     joined = rows.select("row", "doc_id", "n_words", "base").join(spans, "row", "left")
     score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)))
     return joined.select("doc_id", "n_words", "base", "spans", F.least(F.lit(1.0), score).alias("score"))
