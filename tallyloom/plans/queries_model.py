@@ -405,10 +405,13 @@ def scenario_prob(spark, sf):
     return scenario_rows(spark, sf, simulated(spark, sf)).select("scenario", r6("probability").alias("probability"), r6("mean").alias("mean"))
 
 
-def scenario_rows(spark, sf, rows: DataFrame) -> DataFrame:
+def scenario_members(spark, sf) -> DataFrame:
     sets = spark.createDataFrame([(s, p, list(b)) for s, p, b in SCENARIOS], "scenario string, plausibility double, blocs array<string>")
-    members = sets.select("scenario", "plausibility", F.explode("blocs").alias("bloc")).join(views.party(spark, sf), "bloc").select("scenario", "plausibility", "party_id")
-    return montecarlo.scenarios(rows, members)
+    return sets.select("scenario", "plausibility", F.explode("blocs").alias("bloc")).join(views.party(spark, sf), "bloc").select("scenario", "plausibility", "party_id")
+
+
+def scenario_rows(spark, sf, rows: DataFrame) -> DataFrame:
+    return montecarlo.scenarios(rows, scenario_members(spark, sf))
 
 
 @query("pm_outlook", f"""WITH {DRAWS}, s AS (SELECT sim, coalesce(sum(seats) FILTER (bloc = 'AMERICA'), 0) AS a, coalesce(sum(seats) FILTER (bloc = 'ASIA'), 0) AS b, coalesce(sum(seats) FILTER (bloc = 'EUROPE'), 0) AS c FROM dr GROUP BY sim),

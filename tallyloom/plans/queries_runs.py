@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import DEFAULT
 from tallyloom.operators import montecarlo, reporting
-from tallyloom.plans import runs, views
-from tallyloom.plans.queries_model import MISSES, REGIONS, draw_runs_sql, misses, query, r6
+from tallyloom.plans import daily, runs, views
+from tallyloom.plans.queries_model import MISSES, REGIONS, draw_runs_sql, misses, query, r6, scenario_members
 from tallyloom.plans.views import MODES, PRELUDE
 from tallyloom.session import shared_folder, table
 from tallyloom.sources.sinks import SnapshotStore
@@ -185,3 +185,23 @@ def headline_strip(spark, sf):
     out = central.groupBy("run").agg(((F.max("scale") - 1) * 100).alias("inflation_pct"))
     out = out.join(gap(montecarlo.summary_of_counts(montecarlo.seat_counts(rows, by=by), by=by), "party_gap"), "run").join(gap(montecarlo.bloc_summary(rows, by=by), "bloc_gap"), "run")
     return out.select("run", F.round("inflation_pct", 4).alias("inflation_pct"), r6("party_gap").alias("party_gap"), r6("bloc_gap").alias("bloc_gap"))
+
+
+@query("daily_reports")
+def daily_reports(spark, sf):
+    """Every day's report as JSON and Markdown: sections filled from the day's facts, movement against the day before."""
+    polls, shares, last = inputs(spark, sf)
+    table_ = runs.day_table(spark, last, MONTH, True)
+    config = dataclasses.replace(DEFAULT, simulations=MONTH_SIMS, election_date=str(last + dt.timedelta(days=AHEAD)))
+    mean, _, sizes = runs.average_runs(polls, shares, no_flags(spark), views.grades(spark), runs.with_trend(table_), config=config, rounds=0, modes=MODES)
+    central = runs.settings(runs.central_runs(table_, runs.trended(mean), views.party(spark, sf), misses(spark, sf), attention(spark, sf, last), REGIONS, config), MONTH_SIMS, config).checkpoint()
+    draws = montecarlo.draw_runs(central, ["run"], MONTH_SIMS, REGIONS, "ASIA", config).checkpoint()
+    by = ("run",)
+    seats = central.select("run", "party_id", "share", "poll_share", "trend14d").join(montecarlo.summary(draws, by=by), ["run", "party_id"]).checkpoint()
+    keys = table_.select("run", *runs.BASIS)
+    every = runs.Runs(
+        table_, central, None, keys.join(sizes, runs.BASIS).drop(*runs.BASIS), draws, seats, montecarlo.bloc_summary(draws, by=by), montecarlo.scenarios(draws, scenario_members(spark, sf), by=by),
+        montecarlo.outlook(draws, "AMERICA", 1, "ASIA", "EUROPE", by=by),
+    )
+    reports, markdown = daily.reports_of(every, views.party(spark, sf), "AMERICA", daily.previous(every, None), config)
+    return reports.join(markdown, "run").select("date", "headline", "json", "markdown")

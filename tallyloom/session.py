@@ -28,8 +28,11 @@ def local_session(cores: int = 8, app: str = "tallyloom") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else where checkpoints go."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else where checkpoints go; a local
+    session that has neither gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-work")
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
