@@ -88,10 +88,11 @@ class Index:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text, rising, and how often it has each."""
-        get = self.terms.get
-        found = np.array([(p, n) for w, n in Counter(tokens(text)).items() if (p := get(w)) is not None], dtype=np.int64).reshape(-1, 2)
-        found = found[np.argsort(found[:, 0])]
-        return found[:, 0], found[:, 1]
+        often = Counter(map(self.terms.get, tokens(text)))
+        often.pop(None, None)
+        places, counts = (np.fromiter(x, np.int64, len(often)) for x in (often.keys(), often.values()))
+        order = np.argsort(places)
+        return places[order], counts[order]
 
     def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.factor[places]
