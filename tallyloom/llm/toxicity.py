@@ -2,6 +2,9 @@
 
 Fitting: up to ``examples`` labelled rows (half of each class, the smallest MD5 of the id; texts of more than
 ``LONGEST`` characters are not drawn) with distinct texts become the index. Every word of every example is a term.
+Words are runs of letters,
+marks, digits and underscores, lower-cased; Spark splits and names them (64-bit hashes), so Python and the driver only
+see arrays of numbers: no text and no dictionary of words.
 A term weighs ``(1 + ln count) * idf * rf``: IDF counts all documents of the table, and the relevance frequency
 ``rf = log2(2 + toxic / max(1, other))`` counts the examples of either class that have the term. No term is left
 out; ``relevance=False`` sets rf to 1.
@@ -22,17 +25,16 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import modest_batches, table, text_of
+from tallyloom.llm.common import held, modest_batches, table, text_of, written
 
 #: Bounds of the labelled sample: rows, and characters of one text.
 EXAMPLES, LONGEST = 4000, 200_000
@@ -43,11 +45,22 @@ SHRINK = 0.5
 FOLDS = 5
 EVIDENCE = 3
 
-_TOKEN = re.compile(r"\w+")
+_APART = r"[^\p{L}\p{M}\p{N}_]+"
 
 
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+def term_names(text: Column) -> Column:
+    """64-bit names of the words of a text, in order."""
+    return F.array_remove(F.transform(F.split(F.lower(text), _APART), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+
+
+def known_terms(terms: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``terms`` (rising) of the names of a text that stand there, rising, and how often each comes."""
+    found, often = np.unique(np.asarray(names, dtype=np.int64), return_counts=True)
+    if not len(terms):
+        return found[:0], often[:0]
+    places = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
+    known = terms[places] == found
+    return places[known], often[known]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,14 +76,14 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Examples (ids, labels, class weights), terms with their factor (idf * rf), and the inverted index: the
+    """Examples (ids, labels, class weights), names of terms (rising) with their factor (idf * rf), and the inverted index: the
     blocks (number, largest weight, and where their postings (example, weight) begin and end) of term t are
     ``block_at[t]:block_at[t + 1]``; ``row[t]`` is the row of a frequent term in ``rows``, else -1."""
 
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    terms: dict[str, int]
+    terms: np.ndarray
     factor: np.ndarray
     example: np.ndarray
     weight: np.ndarray
@@ -86,14 +99,6 @@ class Index:
     steps: np.ndarray
     levels: np.ndarray
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The known terms of a text, rising, and how often it has each."""
-        often = Counter(map(self.terms.get, tokens(text)))
-        often.pop(None, None)
-        places, counts = (np.fromiter(x, np.int64, len(often)) for x in (often.keys(), often.values()))
-        order = np.argsort(places)
-        return places[order], counts[order]
-
     def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.factor[places]
         norm = np.sqrt((w * w).sum())
@@ -137,9 +142,8 @@ class Index:
         shrink = SHRINK * float(self.weights.mean())
         return float(((w * self.labels[near]).sum() + shrink * self.prior) / (w.sum() + shrink))
 
-    def judge(self, text: str) -> tuple[float, list[int], list[float]]:
-        """The score of a text, and its evidence: the ids of the nearest examples and their cosines."""
-        places, counts = self.counts(text)
+    def judge(self, places: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
+        """The score of a text by its known terms, and its evidence: the ids of the nearest examples and their cosines."""
         near, cosine = self.nearest(places, self.vector(places, counts)) if len(places) else (places, places)
         if not len(near):
             return self.silent, [], []
@@ -160,7 +164,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _sample(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, toxic, text) of at most ``examples`` training rows with distinct texts; labels by class."""
+    """(name, doc_id, toxic, text) of at most ``examples`` training rows with distinct texts (``name``); labels by class."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -168,53 +172,67 @@ def _sample(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[DataFram
     chosen = half[0].unionByName(half[1])
     texts = docs.select("doc_id", text_of().alias("text")).where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")  # at most ``examples`` rows
     texts = texts.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("name")).agg(F.min_by(F.struct("doc_id", "toxic", "text"), "doc_id").alias("r"))
-    return texts.select("r.*"), sizes
+    return texts.select("name", "r.*"), sizes
 
 
-def document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """How many documents have each term, and how many documents there are. Each task counts all it reads and sends
-    one row for each term it met; term ``len(terms)`` stands for the documents themselves."""
+def term_table(docs: DataFrame, terms: np.ndarray, carry: list[str]) -> DataFrame:
+    """(_row, p, n) for each document: its columns ``carry``, the places of its known terms and how often each comes.
+    A written table, so that texts are split into words once."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+    def run(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([known_terms(shared.value, x) for x in names], columns=["p", "n"])
+
+    row = F.struct(*carry) if carry else F.struct(F.lit(None).alias("_"))
+    named = held(docs.select(row.alias("_row"), text_of().alias("_t")), "_n", term_names(F.col("_t")))
+    return written(named.select("_row", F.pandas_udf(run, "p array<int>, n array<int>")("_n").alias("c")).select("_row", "c.*"), "toxic-terms")
+
+
+def document_counts(found: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """How many documents of a term table have each of ``size`` terms, and how many documents there are. Each task counts
+    all it reads and sends one row for each term it met; term ``size`` stands for the documents themselves."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        total = np.zeros(len(known) + 1, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                places = set(map(known.get, tokens(text)))
-                places.discard(None)
-                total[np.fromiter(places, np.int64, len(places))] += 1
+            for places in batch["p"]:
+                total[places] += 1
             total[-1] += len(batch)
         met = np.nonzero(total)[0]
         yield pd.DataFrame({"p": met, "n": total[met]})
 
-    counted = docs.select(text_of().alias("text")).mapInPandas(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(terms) + 1, np.int64)
-    out[counted["p"].to_numpy()] = counted["n"]
+    counted = found.select("p").mapInPandas(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, np.int64)
+    out[counted["p"].to_numpy()] = counted["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True) -> Index | None:
-    """The index over the labelled sample; None without labelled rows."""
+def _counted(names: pd.Series) -> pd.DataFrame:
+    """The distinct names of each text, rising, and how often each comes."""
+    return pd.DataFrame([np.unique(np.asarray(x, dtype=np.int64), return_counts=True) for x in names], columns=["terms", "often"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True, carry: tuple[str, ...] = ()) -> tuple[Index, DataFrame] | None:
+    """The index over the labelled sample and the term table of ``docs``; None without labelled rows."""
     modest_batches(docs.sparkSession)
     sample, sizes = _sample(docs, labels, examples)
-    names: dict[str, int] = {}
-    ids, labels_, counts = [], [], []
-    for row in sample.orderBy("toxic", "doc_id").toLocalIterator():  # a class's examples share blocks
-        words = Counter(tokens(row["text"]))
-        places = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int32, len(words))
-        often = np.fromiter(words.values(), np.int32, len(words))
-        order = np.argsort(places)
-        ids.append(row["doc_id"])
-        labels_.append(row["toxic"])
-        counts.append((places[order], often[order]))
-    if not ids:
+    count = F.pandas_udf(_counted, "terms array<long>, often array<int>")
+    named = held(sample, "names", term_names(F.col("text"))).select("toxic", "doc_id", "name", count("names").alias("c"))
+    rows = named.select("toxic", "doc_id", "name", "c.*").toArrow()  # at most ``examples`` rows of numbers
+    if not rows.num_rows:
         return None
-    df, total = document_counts(docs, names)
-    return build(np.array(ids, np.int64), np.array(labels_, np.int64), counts, sizes, names, df, total, relevance)
-
-
-def build(ids: np.ndarray, labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], sizes: dict[int, int], names: dict[str, int], df: np.ndarray, total: int, relevance: bool) -> Index:
+    rows = rows.sort_by([(c, "ascending") for c in ("toxic", "doc_id", "name")])  # a class's examples share blocks
+    names = pc.list_flatten(rows["terms"]).to_numpy()
+    terms = np.unique(names)
+    ends = np.cumsum(pc.list_value_length(rows["terms"]).to_numpy())[:-1]
+    places, often = np.searchsorted(terms, names).astype(np.int32), pc.list_flatten(rows["often"]).to_numpy()
+    counts = list(zip(np.split(places, ends), np.split(often, ends)))
+    found = term_table(docs, terms, list(carry))
+    df, total = document_counts(found, len(terms))
+    ids, classes = (rows[c].to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    return build(ids, classes, counts, sizes, terms, df, total, relevance), found
+
+
+def build(ids: np.ndarray, labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], sizes: dict[int, int], names: np.ndarray, df: np.ndarray, total: int, relevance: bool) -> Index:
     """The index of examples with these terms (rising) and their counts; ``sizes`` counts all labels by class."""
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(p) for p, _ in counts])
     term, often = (np.concatenate([c[k] for c in counts]) for k in (0, 1))
@@ -261,27 +279,27 @@ def build(ids: np.ndarray, labels: np.ndarray, counts: list[tuple[np.ndarray, np
 def _scores(index: Index, spark: SparkSession):
     shared = spark.sparkContext.broadcast({f.name: getattr(index, f.name) for f in fields(index)})  # at most ``examples`` rows
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(places: pd.Series, counts: pd.Series) -> pd.DataFrame:
         known = Index(**shared.value)
-        for texts in batches:
-            yield pd.DataFrame([known.judge(t) for t in texts], columns=["score", "evidence", "cosines"])
+        return pd.DataFrame([known.judge(p, n) for p, n in zip(places, counts)], columns=["score", "evidence", "cosines"])
 
     return F.pandas_udf(run, "score double, evidence array<long>, cosines array<double>")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, examples: int, relevance: bool) -> DataFrame:
-    """``docs`` with ``_s``: score, evidence, cosines. Nothing is shuffled."""
-    index = fit(docs, labels, examples, relevance)
-    if index is None:
+def _scored(docs: DataFrame, labels: DataFrame, examples: int, relevance: bool, carry: list[str]) -> DataFrame:
+    """``_row``: the columns ``carry`` of ``docs``; ``_s``: score, evidence, cosines. Nothing is shuffled."""
+    fitted = fit(docs, labels, examples, relevance, tuple(carry))
+    if fitted is None:
         none = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"), F.array().cast("array<double>").alias("cosines"))
-        return docs.select(F.struct(*docs.columns).alias("_row"), none.alias("_s"))
-    return docs.select(F.struct(*docs.columns).alias("_row"), text_of().alias("_t")).select("_row", _scores(index, docs.sparkSession)("_t").alias("_s"))
+        return docs.select(F.struct(*carry).alias("_row"), none.alias("_s"))
+    index, found = fitted
+    return found.select("_row", _scores(index, docs.sparkSession)("p", "n").alias("_s"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted, evidence (ids of the nearest examples),
     cosines."""
-    scored = _scored(docs.select("doc_id", "text"), labels, examples, relevance).select("_row.doc_id", "_s.*")
+    scored = _scored(docs.select("doc_id", "text"), labels, examples, relevance, ["doc_id"]).select("_row.doc_id", "_s.*")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines"
     )
@@ -289,7 +307,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
 
 def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True) -> DataFrame:
     """The rows of ``docs`` whose score is under 0.5, all columns as they are and nothing shuffled."""
-    return _scored(docs, labels, examples, relevance).where(F.col("_s.score") < 0.5).select("_row.*")
+    return _scored(docs, labels, examples, relevance, docs.columns).where(F.col("_s.score") < 0.5).select("_row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,7 +429,7 @@ def test_toxicity_neighbours_are_exact_and_hold_out_is_accurate(spark):
     held = [r for r in out if r.doc_id is not None and r.held_out and r.doc_id < 600]
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
     # Cosines over all words of the whole texts, counted here, against the index.
-    index = toxicity.fit(docs, marks)
+    index, _ = toxicity.fit(docs, marks)
     plain = [(d, Counter(re.findall(r"\w+", (t or "").lower()))) for d, t in rows]
     df = Counter(w for _, c in plain for w in c)
     chosen = {int(d): int(index.labels[i]) for i, d in enumerate(index.ids)}
@@ -437,7 +437,8 @@ def test_toxicity_neighbours_are_exact_and_hold_out_is_accurate(spark):
     for d, c in plain:
         if d in chosen:
             words_of.setdefault(d, c)
-    assert set(index.terms) == {w for c in words_of.values() for w in c}
+    name = lambda w: int(np.uint64(xxhash.xxh64(w.encode(), seed=42).intdigest()).astype(np.int64))
+    assert list(index.terms) == sorted({name(w) for c in words_of.values() for w in c})
     toxic, every = Counter(), Counter()
     for d, c in words_of.items():
         every.update(set(c))
@@ -457,7 +458,7 @@ def test_toxicity_neighbours_are_exact_and_hold_out_is_accurate(spark):
         q = unit(c)
         cosine = np.array([sum(x * units[int(e)].get(w, 0.0) for w, x in q.items()) for e in index.ids])
         order = np.lexsort((np.arange(len(cosine)), -cosine))[: toxicity.NEIGHBOURS]
-        p, n = index.counts(" ".join(w for w, k in c.items() for _ in range(k)))
+        p, n = toxicity.known_terms(index.terms, np.array([name(w) for w, k in c.items() for _ in range(k)], np.int64))
         near, got = index.nearest(p, index.vector(p, n)) if len(p) else ([], [])
         assert list(got) == pytest.approx(cosine[order][cosine[order] > 0], abs=1e-9)
         assert any(r.cosines == pytest.approx(list(got)[:3], abs=1e-9) for r in shown[d])
