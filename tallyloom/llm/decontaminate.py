@@ -6,7 +6,10 @@ All n-grams of all documents (of 4 words; of 3 for pieces under ``SHORT`` words;
 are looked up among those of the pieces: first in a bit map of fixed size, which lets a few others through, then by a
 join. The hits give the document frequency of each n-gram. A seed is an n-gram that is rare for its piece: at most
 ``COMMON`` documents have it, or at most ``RATIO`` times as many as have the piece's median n-gram - so an item
-leaked into a large part of the corpus keeps its seeds. A seed at word i of the document and j of the piece proposes
+leaked into a large part of the corpus keeps its seeds. It must be rare among pieces too: at most ``SHARED`` of them
+have it, or at most ``RATIO`` times as many as have the piece's median n-gram. So a phrase that begins every item
+proposes none of them; where it fills over half of a piece the median is as frequent, and it stays a seed, for then
+it reaches ``LEAST`` by itself. A seed at word i of the document and j of the piece proposes
 the passage around i - j; overlapping proposals merge, and each passage that has enough of the piece's words is
 aligned with it by Smith-Waterman over words. The score is the best alignment over a perfect one; at ``LEAST`` the
 document is contaminated.
@@ -33,6 +36,7 @@ from tallyloom.llm.common import held, modest_batches, table, text_of, written
 N, SHORT, SHORT_N = 4, 30, 3
 PIECE = 64
 COMMON = 1000
+SHARED = 100
 RATIO = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
@@ -195,9 +199,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, map_bits: int = MAP_BITS)
     listed = hits.where(F.size("grams") > 0)
     # Rows of a common gram are counted before they meet, and AQE splits the joins below.
     counted = listed.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    known = grams.join(counted, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    limits = known.dropDuplicates(["unit", "gram"]).groupBy("unit").agg(F.greatest(F.lit(float(COMMON)), RATIO * F.percentile("df", F.lit(0.5))).alias("most"))
-    seeds = known.join(limits, "unit").where("df between 1 and most").select("gram", "unit", "j")
+    having = grams.select("unit", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("uf"))
+    known = grams.join(having.join(counted, "gram", "left"), "gram").withColumn("df", F.coalesce("df", F.lit(0)))
+    rare = [F.greatest(F.lit(float(least)), RATIO * F.percentile(c, F.lit(0.5))).alias(f"most_{c}") for c, least in (("df", COMMON), ("uf", SHARED))]
+    limits = known.dropDuplicates(["unit", "gram"]).groupBy("unit").agg(*rare)
+    seeds = known.join(limits, "unit").where("df between 1 and most_df and uf <= most_uf").select("gram", "unit", "j")
     places = listed.select("row", F.inline(F.arrays_zip("grams", "at"))).withColumnRenamed("grams", "gram")
     met = places.join(seeds, "gram").groupBy("row", "unit").agg(F.collect_set(F.col("at") - F.col("j")).alias("starts"))
     asked = met.join(units, "unit").groupBy("row").agg(F.collect_list(F.struct("item", "item_id", "words", "starts")).alias("proposals"))
