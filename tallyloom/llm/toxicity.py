@@ -76,8 +76,8 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Examples (ids, labels, class weights), names of terms (rising) with their factor (idf * rf), and the inverted index: the
-    blocks (number, largest weight, and where their postings (example, weight) begin and end) of term t are
+    """Examples (ids, labels, class weights), names of terms (rising) with their factor (idf * rf), and the inverted
+    index: the blocks (number, largest weight, and where their postings (example, weight) begin and end) of term t are
     ``block_at[t]:block_at[t + 1]``; ``row[t]`` is the row of a frequent term in ``rows``, else -1."""
 
     ids: np.ndarray
