@@ -14,7 +14,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A large star links each node's larger neighbours to the smallest neighbour; a small star does so with the
     smaller ones. Together they halve the longest path, so the rounds grow with its logarithm. Each round is a
     written table of at most as many links; the loop ends when a round changes nothing. Null nodes and loops
-    are left out.
+    are left out. The result reads the last round's table, its ``work_table``.
     """
     edges = written(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(),
@@ -37,7 +37,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = new
     rooted = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return rooted.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = rooted.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out.work_table = edges.work_table
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

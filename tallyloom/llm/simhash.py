@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ascii_lower, held, modest_batches, table, text_of, words, written
+from tallyloom.llm.common import ascii_lower, dropped, held, modest_batches, table, text_of, words, written
 from tallyloom.llm.components import components
 
 WIDTH = 3
@@ -246,7 +246,8 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3, t
     sequences are one document from the start. First all members of a bucket are compared with its smallest id, or
     with up to ``leaders`` (smallest, largest and a hashed id) if it has more than ``bucket`` documents; this only
     saves work. Then all members of every bucket that this hasn't joined are compared with each other, in tiles.
-    Texts without words are alike; null ids are never linked.
+    Texts without words are alike; null ids are never linked. The result is a work table of two numbers a document;
+    the tables of fingerprints and bands are deleted once it is written.
     """
     modest_batches(docs.sparkSession)
     rows = held(docs.select("doc_id", text_of().alias("text")), "w", words(ascii_lower(F.col("text")))).select("doc_id", "w")
@@ -270,13 +271,16 @@ def similar_documents(docs: DataFrame, bucket: int = BUCKET, leaders: int = 3, t
         return pairs.join(side("a"), "a").join(side("b"), "b").where(distance <= allowed_bits(LEAST, 64 * VERIFY_WORDS)).select("a", "b")
 
     star_links = written(verified(stars), "wide-links")
-    joined = written(components(star_links), "wide-joined")
+    stars_rooted = components(star_links)
+    joined = written(stars_rooted, "wide-joined")
     live = keyed.join(sizes.where("size > 2").select("n", "bits"), ["n", "bits"]).join(joined.withColumnRenamed("node", "id"), "id", "left")
     live = live.select("n", "bits", "id", F.coalesce("root", "id").alias("root"))
     links_ = star_links.unionByName(_tiled(live, classes.select("id", "fp"), tile))
     roots = components(links_)
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("name", F.coalesce("root", "id").alias("component_id"))
-    return prints.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")
+    found = written(prints.select("doc_id", "name").join(named, "name").select("doc_id", "component_id"), "wide-found")
+    dropped(prints, classes, keyed, star_links, stars_rooted, joined, roots)
+    return found
 
 
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import held, modest_batches, table, text_of, written
+from tallyloom.llm.common import dropped, held, modest_batches, table, text_of, written
 
 #: Bounds of the labelled sample: rows, and characters of one text.
 EXAMPLES, LONGEST = 4000, 200_000
@@ -306,8 +306,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, relevance: bool = True) -> DataFrame:
-    """The rows of ``docs`` whose score is under 0.5, all columns as they are and nothing shuffled."""
-    return _scored(docs, labels, examples, relevance, docs.columns).where(F.col("_s.score") < 0.5).select("_row.*")
+    """The rows of ``docs`` whose score is under 0.5, all columns as they are and nothing shuffled.
+
+    Texts are split into words twice, to count documents and to score them: so no text is in a work table, and the
+    term table goes as soon as it is counted.
+    """
+    fitted = fit(docs, labels, examples, relevance)
+    if fitted is None:
+        return docs
+    index, found = fitted
+    dropped(found)
+    shared = docs.sparkSession.sparkContext.broadcast({f.name: getattr(index, f.name) for f in fields(index)})  # at most ``examples`` rows
+
+    def run(names: pd.Series) -> pd.Series:
+        known = Index(**shared.value)
+        return pd.Series([known.judge(*known_terms(known.terms, x))[0] for x in names], dtype="float64")
+
+    named = held(docs.select(F.struct(*docs.columns).alias("_row"), text_of().alias("_t")), "_n", term_names(F.col("_t")))
+    return named.select("_row", F.pandas_udf(run, "double")("_n").alias("_s")).where("_s < 0.5").select("_row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
