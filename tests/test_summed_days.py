@@ -55,7 +55,7 @@ def shuffled(spark, job) -> int:
     return sum(n for k, n in stages().items() if k not in before)
 
 
-@pytest.mark.parametrize("name", ["backfill", "daily_reports", "headlines", "snapshot_trend", "what_if_blocs"])
+@pytest.mark.parametrize("name", ["backfill", "daily_reports", "headlines", "snapshot_trend", "what_if_blocs", "headline_strip"])
 def test_days_and_knobs_multiply_no_readings(spark, monkeypatch, name):
     """Few draws, so readings are most of the input: a query shuffles a few times its rows, not their product with days."""
     monkeypatch.setattr(queries_runs, "MONTH_SIMS", 2)
